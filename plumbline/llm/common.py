@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALLEST = -(1 << 63)
+#: Bytes of text that a task works on at a time (a longer document alone).
+BUFFER = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +59,32 @@ def back_to_id(name: str) -> Column:
     return F.when(F.col(name) != SMALLEST, F.col(name))
 
 
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of BUFFER bytes or so together."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > BUFFER:
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def ordered_ids(documents: DataFrame) -> DataFrame:
+    """documents with a column ``_id`` that is their doc_id (null: smallest long), or, where doc_ids repeat, a rank by doc_id and text."""
+    docs = documents.withColumn("_id", whole_id("doc_id"))
+    if docs.groupBy("_id").count().where("count > 1").limit(1).count() == 0:
+        return docs
+    spread = documents.withColumn("_order", whole_id("doc_id")).repartitionByRange("_order", "text").sortWithinPartitions("_order", "text")
+    return written(spread.withColumn("_id", F.monotonically_increasing_id()).drop("_order"), "ordered")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose ``_id`` is not among ids(_id), without that column; null-free ids."""
+    return docs.join(small_side(written(ids, "ids"), 16), "_id", "left_anti").drop("_id")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected graph ``edges(src long, dst long)``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, quality, simhash, toxicity
+from . import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffixes, toxicity, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,8 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +45,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op5_quality, op6_simhash, op8_toxicity, op10_licenses)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_language, op4_urls, op5_quality, op6_simhash, op7_suffixes, op8_toxicity, op9_decontaminate, op10_licenses)}
+ORACLES = {"op4_urls": urls.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
