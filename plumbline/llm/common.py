@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SMALLEST = -(1 << 63)
 #: Bytes of text that a task works on at a time (a longer document alone).
@@ -50,6 +51,11 @@ def small_side(df: DataFrame, row_bytes: int, limit_bytes: int = 48 << 20) -> Da
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
 
 
+def and_fields(schema: StructType, ddl: str) -> StructType:
+    """A schema with further fields, whatever the names of the first."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def whole_id(name: str) -> Column:
     """An integer id column as a long that is never null: null counts as the smallest long."""
     return F.coalesce(F.col(name).cast("long"), F.lit(SMALLEST))
@@ -59,14 +65,15 @@ def back_to_id(name: str) -> Column:
     return F.when(F.col(name) != SMALLEST, F.col(name))
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of BUFFER bytes or so together."""
-    start, size = 0, 0
+def pieces(texts: list, size: int = BUFFER) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of ``size`` bytes (or characters) or so together; null counts as empty."""
+    start, held = 0, 0
     for k, t in enumerate(texts):
-        if size and size + len(t) > BUFFER:
+        n = len(t or "")
+        if held and held + n > size:
             yield start, k
-            start, size = k, 0
-        size += len(t)
+            start, held = k, 0
+        held += n
     if start < len(texts):
         yield start, len(texts)
 

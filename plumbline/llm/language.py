@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_side, written
+from .common import and_fields, pieces, small_side, written
 
 #: Labelled texts of the trigram model, at most (those of the smallest hash).
 FIT_ROWS = 4_000
@@ -89,7 +89,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
             ll = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.maximum(sizes, 0)), ll], [*kept, "n", "ll"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), "n long", "ll array<double>"])
+    schema = and_fields(rows.select(*kept).schema, "n long, ll array<double>")
     return rows.mapInArrow(run, schema)
 
 

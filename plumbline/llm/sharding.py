@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, whole_id
+from .common import and_fields, fresh_path, whole_id
 
 SHARDS = 16
 SEED = 20_240_501
@@ -71,8 +71,7 @@ def shuffle_shards(documents: DataFrame, shards: int = SHARDS, seed: int = SEED,
         shard = np.searchsorted(cuts, position, side="right") - 1
         return pa.table({"_record": bucket.column("_record").take(pa.array(order)), "shard": pa.array(shard, pa.int32()), "slot": pa.array(position - cuts[shard], pa.int64())})
 
-    record = scattered.schema["_record"].dataType.simpleString()
-    out = scattered.groupBy("_bucket").applyInArrow(write, f"_record {record}, shard int, slot long")
+    out = scattered.groupBy("_bucket").applyInArrow(write, and_fields(scattered.select("_record").schema, "shard int, slot long"))
     out.select("_record.*", *OWN).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     back = spark.read.schema(out.select("_record.*", "slot", "shard").schema).parquet(path)
     return back.select(*[F.col(f"`{c}`") for c in names], *OWN)
