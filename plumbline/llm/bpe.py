@@ -13,6 +13,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import and_fields
+
 #: Distinct chunks whose encoding a worker remembers; beyond, it starts afresh.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
+#: Rows of an Arrow batch that are encoded at a time.
+SLICE = 500
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -51,7 +56,7 @@ class WordBpe:
         self.odd_space = regex.compile("[\x1c-\x1f]")
         self.space = regex.compile(f"[{SPACE}]+")
         self.alphabet = byte_alphabet()
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def word(self, piece: str) -> list[int]:
         """Token ids of one pre-token."""
@@ -81,37 +86,57 @@ class WordBpe:
                 heapq.heappush(queue, r << 32 | h)
         return [s for s in sym if s >= 0]
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        """Ids (little-endian unsigned 32 bit) and decoded text of a chunk without white space."""
+    def chunk(self, text: str) -> bytes:
+        """Ids (little-endian unsigned 32 bit) of a chunk without white space."""
         ids = [i for piece in self.pieces.findall(text) for i in self.word(piece)]
-        made = struct.pack(f"<{len(ids)}I", *ids), " ".join(self.words[i] for i in ids)
         if len(self.cache) >= CACHE_CHUNKS:
             self.cache.clear()
-        self.cache[text] = made
+        self.cache[text] = made = struct.pack(f"<{len(ids)}I", *ids)
         return made
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids and decoded text of a whole text."""
-        ids, shown = [], []
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, as little-endian unsigned 32-bit integers."""
+        ids = []
         for part in self.split_special.split(text) if self.split_special else [text]:
             if (special := self.special.get(part)) is not None:
-                ids.append(np.array([special], "<u4").tobytes())
-                shown.append(part)
+                ids.append(struct.pack("<I", special))
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             chunks = self.space.split(part) if self.odd_space.search(part) else part.split()
-            get = self.cache.get
+            get, chunk = self.cache.get, self.chunk
             for c in chunks:
                 if c:
-                    a, b = get(c) or self.chunk(c)
-                    if a:
-                        ids.append(a)
-                        shown.append(b)
-        return b"".join(ids), " ".join(shown)
+                    made = get(c)
+                    ids.append(chunk(c) if made is None else made)
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids, by the vocabulary strings alone."""
-        return " ".join(self.words[i] for i in np.frombuffer(ids, "<u4").tolist())
+        """The text of ids: vocabulary strings, a space between them."""
+        words = self.words
+        return " ".join([words[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+
+
+def encoded(batches: Iterator[pa.RecordBatch], bpe: WordBpe, text: str) -> Iterator[pa.RecordBatch]:
+    """Batches with ``ids`` and ``decoded``, SLICE rows at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            got = [bpe.encode(t.as_py() or "") for t in batch.column(text)]
+            ends = np.cumsum([0, *(len(a) // 4 for a in got)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(map(bpe.decode, got), pa.string())], [*batch.schema.names, "ids", "decoded"])
+
+
+@lru_cache(1)
+def encoder(spec: str) -> WordBpe:
+    """The encoder of a worker: what it remembers serves all its tasks."""
+    return WordBpe(spec)
+
+
+def vocabulary(df: DataFrame, tokenizer_path: str):
+    """The tokenizer file (of fixed size), sent to all tasks."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode_documents(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
@@ -122,35 +147,23 @@ def encode_documents(df: DataFrame, tokenizer_path: str, text: str = "text") ->
     ``decoded`` give way to the new ones; all others are kept as they are.
     Repeated rows and an empty table need nothing special.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: fixed size
+    spec = vocabulary(df, tokenizer_path)
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded")])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "ids array<int>", "decoded string"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(spec.value)
-        for batch in batches:
-            got = [bpe.encode(t.as_py() or "") for t in batch.column(text)]
-            ends = np.cumsum([0, *(len(a) // 4 for a, _ in got)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(a for a, _ in got), "<u4").astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([b for _, b in got], pa.string())], [*batch.schema.names, "ids", "decoded"])
-
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lambda batches: encoded(batches, encoder(spec.value), text), and_fields(kept.schema, "ids array<int>, decoded string"))
 
 
 def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens and SHA-256 of its ids and of its decoded text."""
-    out = encode_documents(df.select("doc_id", "text"), tokenizer_path).drop("text")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    """Per document: doc_id, n_tokens and SHA-256 of its ids and of its decoded text, taken from what ``encoded`` gives."""
+    spec = vocabulary(df, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, flat = batch.column("ids"), batch.column("ids").values.to_numpy()
-            ends = ids.offsets.to_numpy()
+        for batch in encoded(batches, encoder(spec.value), "text"):
+            ids = batch.column("ids")
+            flat, ends = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
             n = np.diff(ends).astype(np.int64)
-            a = [hashlib.sha256(flat[s:e].astype("<u4").tobytes()).hexdigest() for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            a = [hashlib.sha256(flat[s:e].tobytes()).hexdigest() for s, e in zip(ends[:-1], ends[1:], strict=True)]
             b = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column("decoded")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return out.mapInArrow(run, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
