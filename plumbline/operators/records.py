@@ -209,7 +209,7 @@ def cardinality_holds(rule: Rule, context: Context) -> Found | None:
     if not (pairs := fd_pairs(context.profile)):
         return None
     rows = fd_conflicts(context.df, pairs)
-    stats = {(r.det, r.dep): r.asDict() for r in rows.groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts"), F.approx_count_distinct("key").alias("groups")).collect()}
+    stats = {(r.det, r.dep): r.asDict() for r in rows.groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts"), F.count_distinct("key").alias("groups")).collect()}
     chosen = fd_choose([stats[p] for p in pairs if p in stats])
     if not chosen:
         return None
