@@ -56,3 +56,17 @@ def test_registry(spark):
     assert [r.run_id for r in registry.list_runs(runs).collect()] == [1]
     assert registry.delete_cascade(runs, 3).count() == 2 and registry.expired(runs, 7).count() == 2
     assert registry.claimed(runs, 9).where("owner_id = 9").count() == 1
+
+
+def test_catalogue(spark):
+    from plumbline.sources import catalogue
+
+    cols = "name string, label string, queryable boolean, retrieveable boolean, deprecatedAndHidden boolean, customSetting boolean, layoutable boolean, custom boolean"
+    rows = [("Account", "account", True, None, None, None, True, None), ("Zed__c", "", True, True, False, False, True, True), ("AccountShare", "x", True, True, False, False, True, False), ("Hidden", "h", True, True, True, False, True, False), ("No", "n", False, True, False, False, True, False)]
+    got = catalogue.objects(spark.createDataFrame(rows, cols), spark.createDataFrame([("Account", 5)], "name string, n long")).collect()
+    assert [(r.name, r.label, r.record_count, r.hidden_count) for r in got] == [("Account", "account", 5, 2), ("Zed__c", "Zed__c", None, 2)]
+    schema = "object string, position int, name string, label string, type string, custom boolean, nillable boolean, createable boolean, defaultedOnCreate boolean, deprecatedAndHidden boolean, referenceTo array<string>, length int, picklist array<struct<value:string,active:boolean>>"
+    data = [("A", 0, "Name", None, "string", None, False, True, None, None, None, 80, None), ("A", 1, "Id", "Key", "id", None, False, False, True, None, None, 18, None), ("A", 2, "Addr", None, "address", None, True, True, None, None, None, 0, None), ("A", 3, "Kind", None, "picklist", None, True, True, None, None, None, 0, [("a", True), ("b", False)])]
+    out = [r.asDict() for r in catalogue.fields(spark.createDataFrame(data, schema)).orderBy("position").collect()]
+    assert [(r["name"], r["required"], r["picklist"]) for r in out] == [("Id", False, None), ("Name", True, None), ("Kind", False, ["a"])]
+    assert catalogue.schema_of(out).fieldNames() == ["Id", "Name", "Kind"]
