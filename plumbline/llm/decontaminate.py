@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import back_to_id, small_side, whole_id, written
 
 #: Word positions that each mask looks at.  The first finds any 13 words with two substituted at any places.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
@@ -28,15 +28,17 @@ def word_hashes(text: str) -> Column:
 
 
 def seeds(df: DataFrame, words: str, pos: str) -> DataFrame:
-    """``df`` with (mask, seed, pos) for every place of every mask in its array of word hashes."""
+    """(mask, seed, pos) for every place of every mask in an array of word hashes, with the other columns of ``df``.
+
+    The array itself is left behind: kept in every row, it would be copied once for each of its words.
+    """
     used = sorted({k for m in MASKS for k in m})
+    rest = [c for c in df.columns if c != words]
     shifted = F.arrays_zip(*[F.slice(words, k + 1, F.size(words)).alias(f"w{k}") for k in used])
-    at = df.select("*", F.posexplode(shifted).alias(pos, "_w"))
-    word = [F.col(f"_w.w{k}") for k in used]
-    by = dict(zip(used, word, strict=True))
+    at = df.select(*rest, F.posexplode(shifted).alias(pos, "_w"))
+    by = {k: F.col(f"_w.w{k}") for k in used}
     made = F.array(*[F.when(by[m[-1]].isNotNull(), F.struct(F.lit(i).alias("mask"), F.xxhash64(*[by[k] for k in m]).alias("seed"))) for i, m in enumerate(MASKS)])
-    out = at.select(*df.columns, pos, F.explode(made).alias("_s")).where("_s is not null")
-    return out.select(*df.columns, pos, "_s.mask", "_s.seed")
+    return at.select(*rest, pos, F.explode(made).alias("_s")).where("_s is not null").select(*rest, pos, "_s.mask", "_s.seed")
 
 
 def best_window(same: Column, width: Column) -> Column:
@@ -57,20 +59,28 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     Other columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes("text").alias("item")).distinct()
-    keys = seeds(items.where(F.size("item") >= 5), "item", "item_at").distinct()
-    keys = written(keys, "seeds")
-    size = keys.agg(F.coalesce(F.sum(64 + 8 * F.size("item")), F.lit(0))).first()[0]
-    side = F.broadcast(keys) if size <= SEED_LIMIT else keys
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes("text").alias("words"))
-    hits = seeds(docs, "words", "at").join(side, ["mask", "seed"])
-    shift = F.col("at") - F.col("item_at")
-    skip = F.greatest(-shift, F.lit(0))
-    length = F.least(F.size("item"), F.size("words") - shift) - skip
-    hits = hits.withColumns({"_n": length, "_w": F.least(F.lit(window), F.size("item"))}).where("_n >= _w")
-    pair = F.zip_with(F.slice("words", F.greatest(shift, F.lit(0)) + 1, F.col("_n")), F.slice("item", skip + 1, F.col("_n")), lambda a, b: (a == b).cast("int"))
-    found = hits.select("doc_id", "item_id", "_n", "_w", pair.alias("same"))
+    items = written(items.where(F.size("item") >= 5).withColumn("key", F.xxhash64("item_id", "item")), "items")
+    keys = seeds(items.select("key", F.size("item").alias("n_item"), "item"), "item", "item_at").distinct()
+    keys = small_side(written(keys, "seeds"), 40, SEED_LIMIT)
+    docs = documents.select(whole_id("doc_id").alias("_id"), "text")
+    hits = seeds(docs.select("_id", word_hashes("text").alias("words")), "words", "at").join(keys, ["mask", "seed"])
+    laid = hits.select("_id", "key", "n_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    laid = written(laid.groupBy("_id").agg(F.collect_list(F.struct("key", "n_item", "shift")).alias("laid")), "hits")
+    total = laid.agg(F.count("*"), F.coalesce(F.sum(F.size("laid")), F.lit(0))).first()
+    near = docs.join(F.broadcast(laid) if 48 * total[0] + 24 * total[1] <= SEED_LIMIT else laid, "_id").select("_id", word_hashes("text").alias("words"), "laid")
+
+    def overlap(x: Column) -> Column:
+        shift, skip = x["shift"], F.greatest(-x["shift"], F.lit(0))
+        n = F.least(x["n_item"], F.size("words") - shift) - skip
+        return F.struct(x["key"].alias("key"), skip.alias("skip"), n.alias("n"), F.slice("words", F.greatest(shift, F.lit(0)) + 1, F.greatest(n, F.lit(0))).alias("part"))
+
+    near = near.select("_id", F.explode(F.transform("laid", overlap)).alias("o")).select("_id", "o.*")
+    side = small_side(items, 1000, SEED_LIMIT)
+    found = near.join(side, "key").withColumn("_w", F.least(F.lit(window), F.size("item"))).where(F.col("n") >= F.col("_w"))
+    pair = F.zip_with("part", F.slice("item", F.col("skip") + 1, F.col("n")), lambda a, b: (a == b).cast("int"))
+    found = found.select("_id", "item_id", F.col("n").alias("_n"), "_w", pair.alias("same"))
     found = found.where(F.aggregate("same", F.lit(0), lambda a, x: a + x) >= F.ceil(F.col("_w") * similarity))
-    found = found.select("doc_id", "item_id", "_n", "_w", best_window(F.col("same"), F.col("_w")).alias("n_same"))
+    found = found.select(back_to_id("_id").alias("doc_id"), "item_id", "_n", "_w", best_window(F.col("same"), F.col("_w")).alias("n_same"))
     found = found.where(F.col("n_same") >= F.ceil(F.col("_w") * similarity))
     return found.groupBy("doc_id", "item_id").agg(
         F.max("n_same").cast("long").alias("n_same"), F.max(F.col("n_same") / F.col("_w")).alias("similarity"), F.max("_n").cast("long").alias("n_overlap")
