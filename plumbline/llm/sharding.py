@@ -74,6 +74,9 @@ def shuffle_shards(documents: DataFrame, shards: int = SHARDS, seed: int = SEED,
     out = scattered.groupBy("_bucket").applyInArrow(write, and_fields(scattered.select("_record").schema, "shard int, slot long"))
     out.select("_record.*", *OWN).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     back = spark.read.schema(out.select("_record.*", "slot", "shard").schema).parquet(path)
+    held = {r.shard: (r.n, r.top) for r in back.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()}
+    if any(held.get(k, (0, -1)) != (cuts[k + 1] - cuts[k], cuts[k + 1] - cuts[k] - 1) for k in range(shards)):
+        raise RuntimeError("the input changed between two readings: give a table, or write the frame to one first")
     return back.select(*[F.col(f"`{c}`") for c in names], *OWN)
 
 
