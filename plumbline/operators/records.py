@@ -188,8 +188,11 @@ def fd_pairs(profile: list[dict]) -> list[tuple[str, str]]:
 
 def fd_conflicts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(det, dep, row, key, value, expected, conflict): for each pair the rows where both are present, against the first row of their key."""
-    made = F.array(*[F.struct(F.lit(a).alias("det"), F.lit(b).alias("dep"), F.lower(X.trimmed(text_of(a))).alias("key"), X.trimmed(text_of(b)).alias("value"), (X.present(text_of(a)) & X.present(text_of(b))).alias("ok")) for a, b in pairs])
-    rows = df.select(F.col(ROW).alias("row"), F.explode(made).alias("p")).where("p.ok").select("p.det", "p.dep", "row", "p.key", "p.value")
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    once = df.select(F.col(ROW).alias("row"), *[f for k, n in enumerate(names) for f in (X.trimmed(text_of(n)).alias(f"v{k}"), X.present(text_of(n)).alias(f"p{k}"))])
+    at = {n: k for k, n in enumerate(names)}
+    made = F.array(*[F.struct(F.lit(a).alias("det"), F.lit(b).alias("dep"), F.lower(F.col(f"v{at[a]}")).alias("key"), F.col(f"v{at[b]}").alias("value"), (F.col(f"p{at[a]}") & F.col(f"p{at[b]}")).alias("ok")) for a, b in pairs])
+    rows = once.select("row", F.explode(made).alias("p")).where("p.ok").select("p.det", "p.dep", "row", "p.key", "p.value")
     firsts = rows.groupBy("det", "dep", "key").agg(F.min_by("value", "row").alias("expected"))
     return rows.join(firsts, ["det", "dep", "key"]).withColumn("conflict", F.lower("value") != F.lower("expected"))
 
@@ -227,8 +230,10 @@ def dependent_field_populated(rule: Rule, context: Context) -> Found | None:
     pairs = [(a["column"], b["column"]) for a in fit for b in fit if a is not b and b["fill_rate"] < 1][: config.FD_MAX_PAIRS]
     if not pairs:
         return None
-    here = [(X.present(text_of(a)), X.present(text_of(b))) for a, b in pairs]
-    counts = context.df.agg(*[f for k, (a, b) in enumerate(here) for f in (F.count_if(a).alias(f"s{k}"), F.count_if(a & b).alias(f"b{k}"))]).first()
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    once = context.df.select(*[X.present(text_of(n)).alias(f"p{k}") for k, n in enumerate(names)])
+    here = [(F.col(f"p{names.index(a)}"), F.col(f"p{names.index(b)}")) for a, b in pairs]
+    counts = once.agg(*[f for k, (a, b) in enumerate(here) for f in (F.count_if(a).alias(f"s{k}"), F.count_if(a & b).alias(f"b{k}"))]).first()
     best: dict[str, tuple] = {}
     for k, (a, b) in enumerate(pairs):
         seen, both = counts[f"s{k}"], counts[f"b{k}"]
