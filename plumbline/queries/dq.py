@@ -16,7 +16,7 @@ from .. import config, refdata
 from ..functions import text as X
 from ..operators import checks, records
 from ..operators import profile as profiles
-from ..plans import assess, registry, score
+from ..plans import assess, registry, score, serve
 from ..plans.rules import EMAIL, Rule, bind, default_pack
 from ..sources.rowcsv import systematic
 
@@ -283,3 +283,5 @@ add("registry_list", lambda s, d: registry.list_runs(registry.runs_from_orders(t
 add("assessment_status", lambda s, d: registry.assessment_status(registry.runs_from_orders(table(s, d, "orders"))), registry.STATUS_SQL)
 add("session_user", lambda s, d: registry.sessions(table(s, d, "orders"), table(s, d, "customer")), registry.SESSION_SQL)
 add("dashboard_top5", lambda s, d: registry.dashboard(registry.runs_from_orders(table(s, d, "orders"))), registry.DASHBOARD_SQL)
+add("picker_search", lambda s, d: serve.search(table(s, d, "part").select("p_partkey", "p_name", "p_brand"), "BRAND#3", "p_name", "p_brand").select("p_partkey"), "select p_partkey from part where contains(lower(p_name), 'brand#3') or contains(lower(p_brand), 'brand#3')")
+add("unknown_values", lambda s, d: table(s, d, "customer").select("c_mktsegment").distinct().join(table(s, d, "customer").where("c_custkey < 4").select("c_mktsegment"), "c_mktsegment", "left_anti"), "select distinct c_mktsegment from customer where c_mktsegment not in (select c_mktsegment from customer where c_custkey < 4)")

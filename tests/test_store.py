@@ -70,3 +70,21 @@ def test_catalogue(spark):
     out = [r.asDict() for r in catalogue.fields(spark.createDataFrame(data, schema)).orderBy("position").collect()]
     assert [(r["name"], r["required"], r["picklist"]) for r in out] == [("Id", False, None), ("Name", True, None), ("Kind", False, ["a"])]
     assert catalogue.schema_of(out).fieldNames() == ["Id", "Name", "Kind"]
+
+
+def test_serve(spark, df):
+    from plumbline.plans import serve
+
+    small = {"a": df.select("__row__", "email", "city"), "b": df.select("__row__", "phone", "city").limit(60)}
+    parked = serve.profile_all(small)
+    assert serve.profile_view(spark, parked["a"]).where("semantic_type = 'email'").count() == 1
+    with pytest.raises(ValueError):
+        serve.confirm_all(small, parked, {"a": ["nope"]}, AS_OF)
+    runs, both = serve.confirm_all(small, parked, {"a": ["email"]}, AS_OF)
+    assert set(runs) == {"a", "b"} and both["overall"] is not None
+    assert sum(c["is_cde"] for c in runs["a"].profile) == 1
+    names = spark.createDataFrame([("Account", "x"), ("Other", None)], "name string, label string")
+    assert [r.name for r in serve.search(names, " ACC", "name", "label").collect()] == ["Account"]
+    view = serve.run_view(spark.sql("select 1 run_id, 'failed' status, 1 records, 1 columns, 1 cdes, 2.0 overall, 'no' error")).first()
+    assert view.overall is None and view.error == "no"
+    assert serve.in_group(spark, "g", lambda: spark.range(3).count()) == 3
