@@ -87,6 +87,13 @@ def ordered_ids(documents: DataFrame) -> DataFrame:
     return written(spread.withColumn("_id", F.monotonically_increasing_id()).drop("_order"), "ordered")
 
 
+def once_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``_id`` is among few ids(_id, ...) and occurs once: as many as there are ids, at most."""
+    few = F.broadcast(ids)
+    single = rows.select("_id").join(few, "_id").groupBy("_id").count().where("count = 1").select("_id")
+    return rows.join(F.broadcast(ids.join(single, "_id")), "_id")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose ``_id`` is not among ids(_id), without that column; null-free ids."""
     return docs.join(small_side(written(ids, "ids"), 16), "_id", "left_anti").drop("_id")

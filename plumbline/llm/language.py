@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields, pieces, small_side, written
+from .common import and_fields, once_each, pieces, small_side, written
 
-#: doc_ids whose labelled texts the trigram model is trained on, at most (those of the smallest hash).
+#: Labelled texts of the trigram model, at most (those of the smallest hash of doc_id).
 FIT_ROWS = 4_000
 SLOTS = 1 << 16
 #: A text's evidence counts like that of this many trigrams at most.
@@ -44,10 +44,9 @@ def folded(text: bytes | None) -> bytes:
 
 
 def train(documents: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (SLOTS x languages) of trigrams, from the texts with a lang of at most ``rows`` doc_ids."""
-    labelled = documents.where("lang is not null and text is not null and doc_id is not null")
-    ids = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
+    """Languages and log probabilities (SLOTS x languages) of trigrams, from at most ``rows`` texts with a lang whose doc_id occurs once."""
+    labelled = documents.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), "lang", "text")
+    picked = once_each(labelled, labelled.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once_each
+
 #: Labelled documents that the field is trained on, at most (those of the smallest hash).
 FIT_ROWS = 1_500
 #: Lines of a training sequence; longer documents are cut into several.
@@ -176,7 +178,7 @@ def fit(sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 150, r
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Crf:
-    """Fit the field on at most ``rows`` labelled documents of either quality; without both kinds, a plain field."""
+    """Fit the field on at most ``rows`` labelled documents of either quality whose doc_id occurs once; without both kinds, a plain field."""
     marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("quality"))
     order = [F.xxhash64("_id"), "_id"]
     picked = marked.where("quality = 1").orderBy(*order).limit(rows // 2).unionByName(marked.where("quality = 0").orderBy(*order).limit(rows // 2))
@@ -193,7 +195,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Crf:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.list_(pa.int32()))), pa.array(out[1], pa.list_(pa.int32()))], ["x", "y"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("t"))
-    found = docs.join(F.broadcast(picked), "_id").select("t", "quality").mapInArrow(run, "x array<array<int>>, y array<int>").toArrow()
+    found = once_each(docs, picked).select("t", "quality").mapInArrow(run, "x array<array<int>>, y array<int>").toArrow()
     sequences = sorted(zip(found.column("x").to_pylist(), found.column("y").to_pylist(), strict=True))
     if not any(1 in y for _, y in sequences) or not any(0 in y for _, y in sequences):
         return plain_field()
