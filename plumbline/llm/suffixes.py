@@ -24,14 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered_ids, pieces, small_side, written
+from .common import and_fields, ordered_ids, pieces, written
 
 LENGTH = 100
 GRAM = 32
+#: Repeated grams, places and spans are sent to all tasks up to so many bytes; beyond, both sides of their joins are shuffled.
+SENT_BYTES = 48 << 20
+#: Rows of an Arrow batch that are cut at a time.
+ROWS = 500
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CODE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,18 +103,51 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def passage_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, c, _id, loc) of all passage runs of docs(_id, t); loc is start * 256 + passages."""
+class Grams:
+    """Repeated grams as a sorted array, with whether their contexts differ."""
+
+    def __init__(self, table: pa.Table):
+        h = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        self.keys, self.several = h[order], table.column("several").to_numpy(zero_copy_only=False)[order]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and of those whether their contexts differ."""
+        if not len(self.keys):
+            return np.zeros(len(h), bool), np.zeros(0, bool)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = self.keys[at] == h
+        return hit, self.several[at[hit]]
+
+
+def passage_runs(docs: DataFrame, length: int, gram: int, known: Broadcast | None = None) -> DataFrame:
+    """(h, c, _id, loc) of all passage runs of docs(_id, t); loc is start * 256 + passages.  With ``known`` grams, theirs alone, and ``several``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_id").to_numpy()
-            texts = [x.as_py() or b"" for x in batch.column("t")]
-            for a, b in pieces(texts):
-                owner, first, count, h, c = anchors_of(texts[a:b], length, gram)
-                yield pa.RecordBatch.from_arrays([signed(h), signed(c), pa.array(ids[a:b][owner]), pa.array(first << 8 | count)], ["h", "c", "_id", "loc"])
+            ids, column = batch.column("_id").to_numpy(), batch.column("t")
+            for a, b in pieces(Sizes(column)):
+                owner, first, count, h, c = anchors_of([x.as_py() or b"" for x in column[a:b]], length, gram)
+                if known is None:
+                    yield pa.RecordBatch.from_arrays([signed(h), signed(c), pa.array(ids[a:b][owner]), pa.array(first << 8 | count)], ["h", "c", "_id", "loc"])
+                else:
+                    hit, several = known.value.find(h)
+                    yield pa.RecordBatch.from_arrays([signed(h[hit]), signed(c[hit]), pa.array(ids[a:b][owner[hit]]), pa.array((first << 8 | count)[hit]), pa.array(several)], ["h", "c", "_id", "loc", "several"])
+
+    return docs.mapInArrow(run, "h long, c long, _id long, loc long" + ", several boolean" * (known is not None))
+
+
+class Sizes:
+    """The texts of an Arrow column as far as ``pieces`` needs them: how long each is."""
+
+    def __init__(self, column: pa.Array):
+        self.sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
 
-    return docs.mapInArrow(run, "h long, c long, _id long, loc long")
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __iter__(self) -> Iterator[range]:
+        return iter(map(range, self.sizes))
 
 
 def suffix_rows(contexts: DataFrame, length: int) -> DataFrame:
@@ -165,27 +204,45 @@ def repeats_in_order(suffixes: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(_id, spans array<long>) of docs(_id, t) with repeats; a span is start << 24 | bytes, possibly overlapping others.
+    """(_id, spans array<long>) of docs(_id, t) with repeats; a span is start << 24 | bytes, apart from each other and in order.
 
     ``_id`` must tell documents apart and order them.
     """
+    spark = docs.sparkSession
     runs = passage_runs(docs, length, gram)
     known = runs.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("several"))
     known = written(known.where("n > 1").select("h", "several"), "grams")
-    members = written(runs.join(small_side(known, 24, 96 << 20), "h"), "members")
+    if 9 * known.count() <= SENT_BYTES:
+        members = passage_runs(docs, length, gram, spark.sparkContext.broadcast(Grams(known.toArrow())))
+    else:
+        members = runs.join(known, "h")
+    members = written(members, "members")
     place = F.struct("_id", "loc")
     firsts = written(members.groupBy("h", "c").agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("several").alias("several")), "firsts")
     later = firsts.where("n > 1").select("h", "c", "f")
     whole = members.join(later, ["h", "c"]).where(place != F.col("f"))
     start, count = F.shiftright("loc", 8), F.col("loc").bitwiseAND(F.lit(255))
     spans = whole.select("_id", F.shiftleft(start, 24).bitwiseOR(count + (length - 1)).alias("span"))
-    several = firsts.where("several").select("f._id", "f.loc")
-    contexts = docs.join(small_side(several, 32, 96 << 20), "_id")
-    contexts = contexts.select("_id", start.alias("start"), F.substring("t", (start + 1).cast("int"), (count + (length - 1)).cast("int")).alias("bytes"))
+    places = written(firsts.where("several").groupBy("f._id").agg(F.collect_list("f.loc").alias("locs")), "places")
+    cut = F.transform("locs", lambda x: F.struct(F.shiftright(x, 8).alias("start"), F.substring("t", (F.shiftright(x, 8) + 1).cast("int"), (x.bitwiseAND(F.lit(255)) + (length - 1)).cast("int")).alias("bytes")))
+    contexts = docs.join(few_longs(places, "locs"), "_id").select("_id", F.explode(cut).alias("x")).select("_id", "x.start", "x.bytes")
     contexts = written(contexts, "contexts")
     single = repeats_in_order(suffix_rows(contexts, length))
     single = single.select("_id", F.shiftleft("start", 24).bitwiseOR(F.lit(length)).alias("span"))
-    return spans.unionByName(single).groupBy("_id").agg(F.collect_list("span").alias("spans"))
+    grouped = spans.unionByName(single).groupBy("_id").agg(F.collect_list("span").alias("spans"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [[a << 24 | b - a for a, b in merged(x.values.to_numpy())] for x in batch.column("spans")]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(held, pa.list_(pa.int64()))], ["_id", "spans"])
+
+    return grouped.mapInArrow(join, "_id long, spans array<long>")
+
+
+def few_longs(rows: DataFrame, column: str) -> DataFrame:
+    """A written table with an array of longs, marked for broadcast if all its longs together are small."""
+    n = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return F.broadcast(rows) if 64 * n[0] + 8 * n[1] <= SENT_BYTES else rows
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -223,26 +280,26 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     documents = ordered_ids(documents.select(*[F.col(f"`{c}`") for c in names]))
     docs = documents.select("_id", F.col("text").cast("binary").alias("t"))
     spans = written(repeated_spans(docs, length, gram), "spans")
-    total = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    side = F.broadcast(spans) if 8 * (total[1] or 0) + 48 * total[0] <= 96 << 20 else spans
-    joined = documents.withColumn("t", F.col("text").cast("binary")).join(side, "_id", "left").drop("_id")
+    joined = documents.join(few_longs(spans, "spans"), "_id", "left").drop("_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, removed = [], []
-            spans = batch.column("spans")
-            for k, t in enumerate(batch.column("t")):
-                t = t.as_py() or b""
-                cuts = merged(spans[k].values.to_numpy()) if spans[k].is_valid else []
-                if characters:
-                    cuts = [(a, b) for a, b in (on_characters(t, *c) for c in cuts) if a < b]
-                removed.append([{"start": a, "stop": b} for a, b in cuts])
-                edges = [0, *(x for cut in cuts for x in cut), len(t)]
-                kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), pa.array(removed, kind)], [*names, "kept", "removed"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*[F.col(f"`{c}`") for c in names]).schema), "kept binary", "removed array<struct<start:bigint,stop:bigint>>"])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                kept, removed = [], []
+                spans = batch.column("spans")
+                for k, t in enumerate(batch.column("text").cast(pa.binary())):
+                    t = t.as_py() or b""
+                    cuts = merged(spans[k].values.to_numpy()) if spans[k].is_valid else []
+                    if characters:
+                        cuts = [(a, b) for a, b in (on_characters(t, *c) for c in cuts) if a < b]
+                    removed.append([{"start": a, "stop": b} for a, b in cuts])
+                    edges = [0, *(x for cut in cuts for x in cut), len(t)]
+                    kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), pa.array(removed, kind)], [*names, "kept", "removed"])
+
+    schema = and_fields(documents.select(*[F.col(f"`{c}`") for c in names]).schema, "kept binary, removed array<struct<start:bigint,stop:bigint>>")
     return joined.mapInArrow(run, schema)
 
 
