@@ -118,3 +118,28 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)] + [(500, k) for k in range(501, 560)]
     got = {r.node: r.component for r in records.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and got[300] == 100 and {got[k] for k in range(500, 560)} == {500}
+
+
+def test_registered_and_files(tmp_path):
+    import json
+
+    from plumbline.operators import registered
+
+    assert registered.kind_of("not_null") == "cell" and registered.kind_of("fuzzy_duplicate") == "record" and not registered.is_registered("x")
+    assert len(registered.checked_pack()) == 34
+    path = tmp_path / "pack.json"
+    path.write_text(json.dumps({"rules": [{"id": "A", "name": "a", "dimension": "validity", "check": "regex_match", "params": {"pattern": "^a"}, "applies_to": {"name_matches": "code"}}]}))
+    rules = registered.checked_pack(str(path))
+    profile = [{"column": c, "is_cde": True, "semantic_type": "identifier", "inferred_type": "string", "enum_domain": [], "fill_rate": 1.0} for c in ("code_a", "other", "CODE_B")]
+    assert [(r.id, r.column) for r in R.bind(rules, profile)] == [("A-01", "code_a"), ("A-02", "CODE_B")]
+    path.write_text(json.dumps({"rules": [{"id": "A", "name": "a", "dimension": "validity", "check": "nope"}]}))
+    with pytest.raises(ValueError):
+        registered.checked_pack(str(path))
+
+
+def test_one_faulty_rule_does_not_stop_others(spark):
+    df = spark.createDataFrame([(i, f"c{i}@mail.com") for i in range(30)], "__row__ long, email string")
+    broken = R.Rule("BAD", "x", "validity", "regex_match", params={}, column=None)
+    fine = R.Rule("OK", "x", "completeness", "not_null")
+    a = A.assess(df, AS_OF, [broken, fine], cdes=["email"])
+    assert list(a.errors) == ["BAD-01"] and [r["rule_id"] for r in a.results] == ["OK-01"]
