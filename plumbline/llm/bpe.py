@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields
+from .common import and_fields, tidy
 
 #: Distinct chunks whose encoding a worker remembers; beyond, it starts afresh.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 150_000
 #: Rows of an Arrow batch that are encoded at a time.
 SLICE = 500
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -149,13 +149,14 @@ def encode_documents(df: DataFrame, tokenizer_path: str, text: str = "text") ->
     """
     spec = vocabulary(df, tokenizer_path)
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded")])
-    return kept.mapInArrow(lambda batches: encoded(batches, encoder(spec.value), text), and_fields(kept.schema, "ids array<int>, decoded string"))
+    return kept.mapInArrow(tidy(lambda batches: encoded(batches, encoder(spec.value), text)), and_fields(kept.schema, "ids array<int>, decoded string"))
 
 
 def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per document: doc_id, n_tokens and SHA-256 of its ids and of its decoded text, taken from what ``encoded`` gives."""
     spec = vocabulary(df, tokenizer_path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in encoded(batches, encoder(spec.value), "text"):
             ids = batch.column("ids")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SMALLEST = -(1 << 63)
 #: Bytes of text that a task works on at a time (a longer document alone).
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,6 +97,21 @@ def once_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids.join(single, "_id")), "_id")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives unused memory back to the system when it is done: workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return inner
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose ``_id`` is not among ids(_id), without that column; null-free ids."""
     return docs.join(small_side(written(ids, "ids"), 16), "_id", "left_anti").drop("_id")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, whole_id, written
+from .common import components, tidy, whole_id, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -48,6 +48,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(_id, fp) for every row; a null text counts as empty, a null doc_id as the smallest long."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("t")], np.uint64).view(np.int64)

@@ -30,7 +30,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields, ordered_ids, pieces, written
+from .common import and_fields, ordered_ids, pieces, tidy, written
 
 LENGTH = 100
 GRAM = 32
@@ -123,6 +123,7 @@ class Grams:
 def passage_runs(docs: DataFrame, length: int, gram: int, known: Broadcast | None = None) -> DataFrame:
     """(h, c, _id, loc) of all passage runs of docs(_id, t); loc is start * 256 + passages.  With ``known`` grams, theirs alone, and ``several``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, column = batch.column("_id").to_numpy(), batch.column("t")
@@ -153,6 +154,7 @@ class Sizes:
 def suffix_rows(contexts: DataFrame, length: int) -> DataFrame:
     """(lead, print, _id, start) of every passage of contexts(_id, start, bytes)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_py() for x in batch.column("bytes")]
@@ -178,6 +180,7 @@ def repeats_in_order(suffixes: DataFrame) -> DataFrame:
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, first = TaskContext.get().partitionId(), None, None
         names = ["kind", "part", "lead", "print", "_id", "start"]
@@ -231,6 +234,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     single = single.select("_id", F.shiftleft("start", 24).bitwiseOR(F.lit(length)).alias("span"))
     grouped = spans.unionByName(single).groupBy("_id").agg(F.collect_list("span").alias("spans"))
 
+    @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [[a << 24 | b - a for a, b in merged(x.values.to_numpy())] for x in batch.column("spans")]
@@ -282,6 +286,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     spans = written(repeated_spans(docs, length, gram), "spans")
     joined = documents.join(few_longs(spans, "spans"), "_id", "left").drop("_id")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for whole in batches:
