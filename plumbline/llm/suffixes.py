@@ -36,6 +36,8 @@ LENGTH = 100
 GRAM = 32
 #: Repeated grams, places and spans are sent to all tasks up to so many bytes; beyond, both sides of their joins are shuffled.
 SENT_BYTES = 48 << 20
+#: Passages whose anchors are found at a time.
+STRETCH = 1 << 23
 #: Rows of an Arrow batch that are cut at a time.
 ROWS = 500
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -75,17 +77,16 @@ def anchors_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray,
     roll = Rolling(data)
     at = np.arange(len(data) - gram + 1)
     h = roll.of(at, at + gram)
-    key = (h >> np.uint64(24) << np.uint64(24)) | at.astype(np.uint64) if len(data) < 1 << 24 else None
-    width = length - gram + 1
-    if key is None:  # one very long text: positions beyond 24 bits
-        key = (h >> np.uint64(40) << np.uint64(40)) | at.astype(np.uint64)
-    bits = np.uint64((1 << 24) - 1) if len(data) < 1 << 24 else np.uint64((1 << 40) - 1)
-    low, step = key, 1
-    while 2 * step <= width:
-        low = np.minimum(low[:-step], low[step:])
-        step *= 2
-    low = np.minimum(low[: len(data) - length + 1], low[width - step : width - step + len(data) - length + 1])
-    place = (low & bits).astype(np.int64)
+    width, n = length - gram + 1, len(data) - length + 1
+    place = np.empty(n, np.int64)
+    for a in range(0, n, STRETCH):  # places within a stretch fit in 24 bits, so 40 bits of each hash decide whatever the size
+        b = min(a + STRETCH, n)
+        low, step = (h[a : b + width - 1] >> np.uint64(24) << np.uint64(24)) | np.arange(b - a + width - 1, dtype=np.uint64), 1
+        while 2 * step <= width:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        low = np.minimum(low[: b - a], low[width - step : width - step + b - a])
+        place[a:b] = a + (low & np.uint64((1 << 24) - 1)).astype(np.int64)
     text = np.searchsorted(ends, np.arange(len(place)), side="right")
     good = np.arange(len(place)) + length <= ends[text]
     starts = np.flatnonzero(good)
@@ -207,7 +208,7 @@ def repeats_in_order(suffixes: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(_id, spans array<long>) of docs(_id, t) with repeats; a span is start << 24 | bytes, apart from each other and in order.
+    """(_id, spans array<long>) of docs(_id, t) with repeats: start and stop of each run in turn, runs apart from each other and in order.
 
     ``_id`` must tell documents apart and order them.
     """
@@ -237,7 +238,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [[a << 24 | b - a for a, b in merged(x.values.to_numpy())] for x in batch.column("spans")]
+            held = [[x for run in merged(s.values.to_numpy()) for x in run] for s in batch.column("spans")]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(held, pa.list_(pa.int64()))], ["_id", "spans"])
 
     return grouped.mapInArrow(join, "_id long, spans array<long>")
@@ -250,7 +251,7 @@ def few_longs(rows: DataFrame, column: str) -> DataFrame:
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs (start, stop) that packed spans cover."""
+    """Maximal runs (start, stop) that packed spans (start << 24 | bytes, of one passage run each) cover."""
     if not len(spans):
         return []
     spans = np.sort(spans)
@@ -296,7 +297,8 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
                 spans = batch.column("spans")
                 for k, t in enumerate(batch.column("text").cast(pa.binary())):
                     t = t.as_py() or b""
-                    cuts = merged(spans[k].values.to_numpy()) if spans[k].is_valid else []
+                    held = spans[k].as_py() or []
+                    cuts = list(zip(held[::2], held[1::2], strict=True))
                     if characters:
                         cuts = [(a, b) for a, b in (on_characters(t, *c) for c in cuts) if a < b]
                     removed.append([{"start": a, "stop": b} for a, b in cuts])
