@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import and_fields, tidy
 
-#: Distinct chunks whose encoding a worker remembers; beyond, it starts afresh.
-CACHE_CHUNKS = 150_000
+#: Distinct chunks in each of the two generations that a worker remembers: those met lately, and those met before them.
+CACHE_CHUNKS = 250_000
 #: Rows of an Arrow batch that are encoded at a time.
 SLICE = 500
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -55,15 +55,18 @@ class WordBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.odd_space = regex.compile("[\x1c-\x1f]")
         self.space = regex.compile(f"[{SPACE}]+")
-        self.alphabet = byte_alphabet()
-        self.cache: dict[str, bytes] = {}
+        alphabet = byte_alphabet()
+        self.inner, self.final = [self.ids.get(c) for c in alphabet], [self.ids.get(c + self.end) for c in alphabet]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def word(self, piece: str) -> list[int]:
         """Token ids of one pre-token."""
-        chars = [self.alphabet[b] for b in piece.encode()]
-        chars[-1] += self.end
-        ids, ranks, merges = self.ids, self.ranks, self.merges
-        sym = [ids[c] for c in chars if c in ids]
+        data, inner, ranks, merges = piece.encode(), self.inner, self.ranks, self.merges
+        sym = [inner[b] for b in data]
+        sym[-1] = self.final[data[-1]]
+        if None in sym:
+            sym = [s for s in sym if s is not None]
         n = len(sym)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         queue = [r << 32 | i for i in range(n - 1) if (r := ranks.get(sym[i] << 32 | sym[i + 1])) is not None]
@@ -87,11 +90,14 @@ class WordBpe:
         return [s for s in sym if s >= 0]
 
     def chunk(self, text: str) -> bytes:
-        """Ids (little-endian unsigned 32 bit) of a chunk without white space."""
-        ids = [i for piece in self.pieces.findall(text) for i in self.word(piece)]
-        if len(self.cache) >= CACHE_CHUNKS:
-            self.cache.clear()
-        self.cache[text] = made = struct.pack(f"<{len(ids)}I", *ids)
+        """Ids (little-endian unsigned 32 bit) of a chunk without white space; often met chunks pass from the old generation to the young one."""
+        made = self.old.get(text)
+        if made is None:
+            ids = [i for piece in self.pieces.findall(text) for i in self.word(piece)]
+            made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.young) >= CACHE_CHUNKS:
+            self.old, self.young = self.young, {}
+        self.young[text] = made
         return made
 
     def encode(self, text: str) -> bytes:
@@ -103,22 +109,20 @@ class WordBpe:
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             chunks = self.space.split(part) if self.odd_space.search(part) else part.split()
-            get, chunk = self.cache.get, self.chunk
+            chunk = self.chunk
             for c in chunks:
                 if c:
-                    made = get(c)
+                    made = self.young.get(c)
                     ids.append(chunk(c) if made is None else made)
         return b"".join(ids)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: vocabulary strings, a space between them."""
-        words = self.words
-        return " ".join([words[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+        return " ".join(map(self.words.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], bpe: WordBpe, text: str) -> Iterator[pa.RecordBatch]:
-    """Batches with ``ids`` and ``decoded``, SLICE rows at a time; what the encoder remembers goes with the task."""
-    bpe.cache.clear()
+    """Batches with ``ids`` and ``decoded``, SLICE rows at a time."""
     for whole in batches:
         for at in range(0, whole.num_rows, SLICE):
             batch = whole.slice(at, SLICE)
@@ -126,7 +130,6 @@ def encoded(batches: Iterator[pa.RecordBatch], bpe: WordBpe, text: str) -> Itera
             ends = np.cumsum([0, *(len(a) // 4 for a in got)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(map(bpe.decode, got), pa.string())], [*batch.schema.names, "ids", "decoded"])
-    bpe.cache.clear()
 
 
 @lru_cache(1)
