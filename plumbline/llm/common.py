@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Empties tables that ``written`` gave and that nothing reads any more: their space is free again."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            path = files[0].rsplit("/", 1)[0]
+            table.limit(0).sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
 def small_side(df: DataFrame, row_bytes: int, limit_bytes: int = 48 << 20) -> DataFrame:
     """``df`` marked for broadcast if its counted rows stay below the limit, else unmarked.
 
@@ -81,13 +90,24 @@ def pieces(texts: list, size: int = BUFFER) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def ordered_ids(documents: DataFrame) -> DataFrame:
-    """documents with a column ``_id`` that is their doc_id (null: smallest long), or, where doc_ids repeat, a rank by doc_id and text."""
-    docs = documents.withColumn("_id", whole_id("doc_id"))
+def named(column: str) -> Column:
+    """The column of this very name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """(_id, _record): each row as a struct of its columns, whatever their names.
+
+    ``_id`` is the row's doc_id (null: smallest long) or, where doc_ids repeat, a rank by doc_id, text and place.
+    """
+    record = F.struct(*[named(c) for c in documents.columns])
+    docs = documents.select(whole_id("doc_id").alias("_id"), record.alias("_record"))
     if docs.groupBy("_id").count().where("count > 1").limit(1).count() == 0:
         return docs
-    spread = documents.withColumn("_order", whole_id("doc_id")).repartitionByRange("_order", "text").sortWithinPartitions("_order", "text")
-    return written(spread.withColumn("_id", F.monotonically_increasing_id()).drop("_order"), "ordered")
+    placed = docs.withColumns({"_text": F.col("_record.text"), "_place": F.monotonically_increasing_id()})
+    order = ["_id", "_text", "_place"]
+    ranked = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranked.select(F.monotonically_increasing_id().alias("_id"), "_record"), "ordered")
 
 
 def once_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -113,8 +133,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose ``_id`` is not among ids(_id), without that column; null-free ids."""
-    return docs.join(small_side(written(ids, "ids"), 16), "_id", "left_anti").drop("_id")
+    """The rows of docs(_id, _record) whose ``_id`` is not among ids(_id), as they were; null-free ids."""
+    return docs.join(small_side(written(ids, "ids"), 16), "_id", "left_anti").select("_record.*")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -3,19 +3,23 @@
 Every passage of ``LENGTH`` bytes that also starts earlier is removed.  The
 suffix array is sparse: a passage is represented by its anchor, the ``GRAM``
 bytes of smallest hash within it, so equal passages have equal anchors at equal
-offsets, and consecutive passages share one (a passage run, with its context).
-
-1. Anchors whose gram occurs once are dropped: pre-aggregated counts.
-2. Equal contexts: all but the first are repeats as a whole (a minimum for each
-   context, joined back; large groups of copies end here).
-3. What is left are the first contexts of grams that stand in several: their
-   suffixes are range-partitioned by leading bytes at sampled splitters, sorted
-   within each bucket, compared with their neighbour, and the first suffix of
-   a bucket with the last one of the bucket before it.
-
-Sort keys are the leading eight bytes of a suffix, then a 64-bit fingerprint of
-its LENGTH bytes, then its place; Spark's external sort takes the place of an
-in-memory quicksort of whole buckets, so that a bucket may spill.
+offsets, and consecutive passages share one (a passage run, with its context:
+the bytes from its first passage's start to its last one's stop).
+
+1. Each batch of documents drops runs whose context, compared byte by byte, it
+   has met before: they are repeats.  What is left is counted by anchor; anchors
+   met once are dropped.
+2. The others fetch their contexts.  Sampled splitters range-partition them by
+   the leading bytes of the suffix that starts at the anchor.  A bucket sorts
+   these suffixes, and what stands before them read backwards, by multikey
+   quicksort, and knows from neighbours' common prefixes which passages equal
+   which: the earliest stays.
+3. Anchors that stand in very many different contexts are split: each of their
+   passages is a suffix of its own, range-partitioned at sampled splitters by
+   bytes and place, sorted, and compared with the one before, across the
+   boundaries of buckets too.
+
+Hashes only choose candidates; bytes decide what goes.
 """
 
 from __future__ import annotations
@@ -24,22 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import and_fields, ordered_ids, pieces, tidy, written
+from .common import and_fields, dropped, named, numbered, tidy, written
 
 LENGTH = 100
 GRAM = 32
-#: Repeated grams, places and spans are sent to all tasks up to so many bytes; beyond, both sides of their joins are shuffled.
-SENT_BYTES = 48 << 20
-#: Passages whose anchors are found at a time.
-STRETCH = 1 << 23
+#: Bytes that anchors are searched in at a time; positions in it fit in 24 bits.
+SLICE = 1 << 19
+#: Bytes of text for a partition, about; contexts, and passages of split anchors, in a bucket, about.
+PART_BYTES, BUCKET_ROWS, BUCKET_PASSAGES = 8 << 20, 50_000, 200_000
+#: An anchor's different contexts in a batch of documents, and in all, beyond which its passages are sorted each for itself.
+OFTEN_HERE, OFTEN = 32, 2_000
 #: Rows of an Arrow batch that are cut at a time.
 ROWS = 500
+#: Kinds of marks: a run to compare, that an anchor is to be split, a run of such an anchor, a repeat (start and stop).
+RUN, SPLIT, APART, REPEAT = range(4)
+#: Parts below this size are sorted at once instead of being divided further.
+SMALL = 4096
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CODE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,197 +76,297 @@ class Rolling:
         return x ^ x >> np.uint64(32)
 
 
-def anchors_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of all texts, one row for each passage run: (text, first start, runs' passages, gram hash, context hash)."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    roll = Rolling(data)
-    at = np.arange(len(data) - gram + 1)
-    h = roll.of(at, at + gram)
-    width, n = length - gram + 1, len(data) - length + 1
-    place = np.empty(n, np.int64)
-    for a in range(0, n, STRETCH):  # places within a stretch fit in 24 bits, so 40 bits of each hash decide whatever the size
-        b = min(a + STRETCH, n)
-        low, step = (h[a : b + width - 1] >> np.uint64(24) << np.uint64(24)) | np.arange(b - a + width - 1, dtype=np.uint64), 1
+def passage_runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+    """The passage runs of texts that stand one after another in ``data``.
+
+    owner: index of the text; first: where its first passage starts; off: of the
+    anchor from there; count: of passages; h and c: hashes of anchor and context.
+    """
+    out: list[tuple[np.ndarray, ...]] = []
+    width, total = length - gram + 1, len(data) - length + 1
+    for a in range(0, total, SLICE):
+        n = min(SLICE, total - a)
+        roll = Rolling(data[a : a + n + length - 1])
+        at = np.arange(n + width - 1)
+        h = roll.of(at, at + gram)
+        low, step = (h >> np.uint64(24) << np.uint64(24)) | at.astype(np.uint64), 1
         while 2 * step <= width:
             low = np.minimum(low[:-step], low[step:])
             step *= 2
-        low = np.minimum(low[: b - a], low[width - step : width - step + b - a])
-        place[a:b] = a + (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-    text = np.searchsorted(ends, np.arange(len(place)), side="right")
-    good = np.arange(len(place)) + length <= ends[text]
-    starts = np.flatnonzero(good)
-    if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    place, text = place[starts], text[starts]
-    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
-    count = np.diff(np.append(new, len(starts)))
-    first, owner = starts[new], text[new]
-    begins = np.concatenate([[0], ends[:-1]])
-    return owner, first - begins[owner], count, h[place[new]], roll.of(first, first + count - 1 + length)
-
-
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-class Grams:
-    """Repeated grams as a sorted array, with whether their contexts differ."""
-
-    def __init__(self, table: pa.Table):
-        h = table.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        self.keys, self.several = h[order], table.column("several").to_numpy(zero_copy_only=False)[order]
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are known, and of those whether their contexts differ."""
-        if not len(self.keys):
-            return np.zeros(len(h), bool), np.zeros(0, bool)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        return hit, self.several[at[hit]]
-
-
-def passage_runs(docs: DataFrame, length: int, gram: int, known: Broadcast | None = None) -> DataFrame:
-    """(h, c, _id, loc) of all passage runs of docs(_id, t); loc is start * 256 + passages.  With ``known`` grams, theirs alone, and ``several``."""
+        low = np.minimum(low[:n], low[width - step : width - step + n])
+        owner = np.searchsorted(ends, a + np.arange(n), side="right")
+        starts = np.flatnonzero(a + np.arange(n) + length <= ends[owner])
+        if not len(starts):
+            continue
+        place, owner = (low[starts] & np.uint64((1 << 24) - 1)).astype(np.int64), owner[starts]
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]))
+        count, first = np.diff(np.append(new, len(starts))), starts[new]
+        out.append((owner[new], a + first, place[new] - first, count, h[place[new]], roll.of(first, first + count - 1 + length)))
+    names = ("owner", "first", "off", "count", "h", "c")
+    if not out:
+        return dict(zip(names, (np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2), strict=True))
+    return dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True))
+
+
+def same_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from each of ``one`` equal those from the matching ``other``; sizes over 0."""
+    out = np.zeros(len(one), bool)
+    for a in range(0, len(one), 1 << 14):
+        n = size[a : a + (1 << 14)]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(begin, n)
+        equal = data[np.repeat(one[a : a + len(n)], n) + step] == data[np.repeat(other[a : a + len(n)], n) + step]
+        out[a : a + len(n)] = np.logical_and.reduceat(equal, begin)
+    return out
+
+
+def merged(start: np.ndarray, stop: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Maximal runs that spans cover, and whose they are; spans of different owners stay apart (their places must follow their owners)."""
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], np.maximum.accumulate(stop[order]) if len(order) else stop
+    owner = np.zeros(len(order), np.int64) if owner is None else owner[order]
+    cut = np.flatnonzero((start[1:] > stop[:-1]) | (owner[1:] != owner[:-1]))
+    first, last = (np.append(0, cut + 1), np.append(cut, len(start) - 1)) if len(start) else (order, order)
+    return start[first], stop[last], owner[first]
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.int64)
+
+
+def marks_of(ids: np.ndarray, texts: list[bytes], length: int, gram: int) -> list[np.ndarray]:
+    """h, salt, kind, _id, a, b of a batch: of runs to compare a is first << 16 | off << 8 | count, of repeats a and b are start and stop.
+
+    Runs of an anchor with many contexts here carry the batch's salt, so that no task gets all of them.
+    """
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    r = passage_runs(data, ends, length, gram)
+    begin = ends - np.array([len(t) for t in texts], np.int64)
+    order = np.lexsort((r["first"], ids[r["owner"]], r["c"]))
+    r = {k: x[order] for k, x in r.items()}
+    again = np.flatnonzero((r["c"][1:] == r["c"][:-1]) & (r["count"][1:] == r["count"][:-1]) & (r["off"][1:] == r["off"][:-1])) + 1
+    again = again[same_bytes(data, r["first"][again - 1], r["first"][again], r["count"][again] + length - 1)]
+    stop = r["first"] + r["count"] + length - 1
+    start, stop, owner = merged(r["first"][again], stop[again], r["owner"][again])
+    repeats = [signed(start.astype(np.uint64) * BASE), np.full(len(start), -1), np.full(len(start), REPEAT), ids[owner], start - begin[owner], stop - begin[owner]]
+    head = np.ones(len(r["c"]), bool)
+    head[again] = False
+    r = {k: x[head] for k, x in r.items()}
+    keys, at, n = np.unique(r["h"], return_inverse=True, return_counts=True)
+    many = n > OFTEN_HERE
+    salt = int(ids[0]) % 0x7FFFFFFF + 1 if len(ids) else 0
+    loc = (r["first"] - begin[r["owner"]]) << 16 | r["off"] << 8 | r["count"]
+    runs = [signed(r["h"]), np.where(many[at], salt, 0), np.where(many[at], APART, RUN), ids[r["owner"]], loc, np.zeros(len(loc), np.int64)]
+    none = np.zeros(many.sum(), np.int64)
+    split = [signed(keys[many]), none, none + SPLIT, none, none, none]
+    return [np.concatenate(x) for x in zip(repeats, runs, split, strict=True)]
+
+
+def marks(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+    """(_id, kind, a, b) of docs(_id, t): repeats within a batch, and runs whose anchor stands elsewhere too (RUN, or APART where it is split)."""
+    names = ["h", "salt", "kind", "_id", "a", "b"]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column("_id").to_numpy(), batch.column("t")
-            for a, b in pieces(Sizes(column)):
-                owner, first, count, h, c = anchors_of([x.as_py() or b"" for x in column[a:b]], length, gram)
-                if known is None:
-                    yield pa.RecordBatch.from_arrays([signed(h), signed(c), pa.array(ids[a:b][owner]), pa.array(first << 8 | count)], ["h", "c", "_id", "loc"])
-                else:
-                    hit, several = known.value.find(h)
-                    yield pa.RecordBatch.from_arrays([signed(h[hit]), signed(c[hit]), pa.array(ids[a:b][owner[hit]]), pa.array((first << 8 | count)[hit]), pa.array(several)], ["h", "c", "_id", "loc", "several"])
-
-    return docs.mapInArrow(run, "h long, c long, _id long, loc long" + ", several boolean" * (known is not None))
-
-
-class Sizes:
-    """The texts of an Arrow column as far as ``pieces`` needs them: how long each is."""
+            got = marks_of(batch.column("_id").to_numpy(), [t.as_py() or b"" for t in batch.column("t")], length, gram)
+            kinds = (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64)
+            for at in range(0, len(got[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].astype(k)) for x, k in zip(got, kinds, strict=True)], names)
 
-    def __init__(self, column: pa.Array):
-        self.sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
+    own = Window.partitionBy("h", "salt")
+    found = docs.mapInArrow(run, "h long, salt int, kind int, _id long, a long, b long").repartition(parts, "h", "salt")
+    found = found.withColumns({"n": F.count("*").over(own), "top": F.max("kind").over(own)}).where(f"kind >= {APART} or kind = {RUN} and n > 1")
+    kind = F.when(F.col("kind") == REPEAT, F.lit(REPEAT)).when((F.col("top") > RUN) | (F.col("n") > OFTEN), F.lit(APART)).otherwise(F.lit(RUN))
+    return found.select("_id", kind.alias("kind"), "a", "b")
 
-    def __len__(self) -> int:
-        return len(self.sizes)
 
-    def __iter__(self) -> Iterator[range]:
-        return iter(map(range, self.sizes))
+def contexts(docs: DataFrame, found: DataFrame, parts: int, length: int) -> DataFrame:
+    """(apart, _id, at, before, suffix) of the runs found in docs(_id, t): the anchor's place, and the context before and from it on."""
+    runs = found.where(f"kind <> {REPEAT}").select("_id", F.struct("kind", "a").alias("run")).repartition(parts, "_id")
+    runs = runs.groupBy("_id").agg(F.collect_list("run").alias("runs"))
+    both = docs.repartition(parts, "_id").join(runs.hint("shuffle_hash"), "_id")
 
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["apart", "_id", "at", "before", "suffix"]
+        for whole in batches:
+            for k in range(whole.num_rows):
+                text, held = whole.column("t")[k].as_py(), whole.column("runs")[k].values
+                loc = held.field("a").to_numpy()
+                first, off, count = loc >> 16, loc >> 8 & 255, loc & 255
+                at, stop = first + off, first + count + length - 1
+                before = pa.array([text[s:e] for s, e in zip(first.tolist(), at.tolist(), strict=True)], pa.binary())
+                suffix = pa.array([text[s:e] for s, e in zip(at.tolist(), stop.tolist(), strict=True)], pa.binary())
+                ids = np.full(len(loc), whole.column("_id")[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(held.field("kind").to_numpy() == APART), pa.array(ids), pa.array(at), before, suffix], names)
 
-def suffix_rows(contexts: DataFrame, length: int) -> DataFrame:
-    """(lead, print, _id, start) of every passage of contexts(_id, start, bytes)."""
+    @tidy
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in run(batches):
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 10_000 or len(held) >= 2_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return both.mapInArrow(gathered, "apart boolean, _id long, at long, before binary, suffix binary")
+
+
+def matrix(texts: list[bytes], width: int, backwards: bool = False) -> np.ndarray:
+    """Texts as rows of ``width`` bytes, zeros after their last one."""
+    size = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    row = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros((len(texts), width), np.uint8)
+    out[row, np.repeat(size, size) - 1 - place if backwards else place] = flat
+    return out
+
+
+def multikey_order(rows: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes (their number divisible by 8): multikey quicksort over words of eight bytes.
+
+    Three-way partition around the median word: the equal part goes on with the
+    next word, the other two with the same one; small parts are sorted at once.
+    """
+    words = rows.view(">u8").astype(np.uint64)
+    order, todo = np.arange(len(rows)), [(0, len(rows), 0)]
+    while todo:
+        a, b, depth = todo.pop()
+        if b - a < 2 or depth == words.shape[1]:
+            continue
+        part = order[a:b]
+        if b - a <= SMALL:
+            order[a:b] = part[np.lexsort(words[part, depth:].T[::-1])]
+            continue
+        word = words[part, depth]
+        pivot = np.partition(word, (b - a) // 2)[(b - a) // 2]
+        less, more = word < pivot, word > pivot
+        order[a:b] = np.concatenate([part[less], part[~less & ~more], part[more]])
+        i, j = a + int(less.sum()), b - int(more.sum())
+        todo += [(a, i, depth), (i, j, depth + 1), (j, b, depth)]
+    return order
+
+
+class Sorted:
+    """Rows of bytes in order, and how many bytes each has in common with the one before."""
+
+    def __init__(self, rows: np.ndarray):
+        order = multikey_order(rows)
+        ordered = rows[order]
+        differ = ordered[1:] != ordered[:-1]
+        self.common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        self.rank = np.empty(len(rows), np.int64)
+        self.rank[order] = np.arange(len(rows))
+
+    def classes(self, size: int) -> np.ndarray:
+        """A number for each row; rows that share their first ``size`` bytes have the same."""
+        return np.concatenate([[0], np.cumsum(self.common < size)])[self.rank]
+
+
+def repeats_in_bucket(ids: np.ndarray, at: np.ndarray, before: list[bytes], suffix: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(_id, start, stop) of the passages that equal an earlier one among contexts.
+
+    A passage that starts ``o`` bytes before its anchor equals another if o
+    bytes before and length - o bytes from the anchor on are the same.
+    """
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    before, suffix = [before[k] for k in order], [suffix[k] for k in order]
+    most = length - gram
+    forward, backward = Sorted(matrix(suffix, -(-length // 8) * 8)), Sorted(matrix(before, -(-max(most, 1) // 8) * 8, backwards=True))
+    off = np.array([len(b) for b in before], np.int64)
+    least = length - np.array([len(s) for s in suffix], np.int64)
+    repeated = np.zeros((len(ids), most + 3), bool)
+    for o in range(most + 1):
+        rows = np.flatnonzero((least <= o) & (o <= off))
+        if len(rows) > 1:
+            key = forward.classes(length - o)[rows] * len(ids) + backward.classes(o)[rows]
+            first = np.unique(key, return_index=True)[1]
+            again = np.ones(len(rows), bool)
+            again[first] = False
+            repeated[rows[again], o + 1] = True
+    edge = np.diff(repeated.astype(np.int8), axis=1)
+    row, low = np.nonzero(edge == 1)
+    high = np.nonzero(edge == -1)[1] - 1
+    return ids[row], at[row] - high, at[row] - low + length
+
+
+def repeats_by_bucket(held: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+    """(_id, a, b): repeats among contexts, start and stop, range-partitioned by their suffixes' leading bytes."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py() for x in batch.column("bytes")]
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            if not len(data):
-                continue
-            sizes = np.array([len(t) for t in texts])
-            n = sizes - length + 1
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(np.cumsum(sizes) - sizes, n) + offset
-            lead = np.zeros(len(at), np.uint64)
-            for k in range(8):
-                lead = lead << np.uint64(8) | data[at + k].astype(np.uint64)
-            ids, starts = batch.column("_id").to_numpy(), batch.column("start").to_numpy()
-            yield pa.RecordBatch.from_arrays([signed(lead ^ np.uint64(1 << 63)), signed(Rolling(data).of(at, at + length)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(starts, n) + offset)], ["lead", "print", "_id", "start"])
+        table = pa.Table.from_batches(held) if (held := [b for b in batches if b.num_rows]) else None
+        if table is not None:
+            ids, a, b = repeats_in_bucket(table.column("_id").to_numpy(), table.column("at").to_numpy(), table.column("before").to_pylist(), table.column("suffix").to_pylist(), length, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, a, b)], ["_id", "a", "b"])
+
+    buckets = held.select("_id", "at", "before", "suffix").repartitionByRange(parts, F.substring("suffix", 1, gram))
+    return buckets.mapInArrow(run, "_id long, a long, b long")
 
-    return contexts.mapInArrow(run, "lead long, print long, _id long, start long")
 
+def repeats_in_order(held: DataFrame, parts: int, length: int) -> DataFrame:
+    """(_id, a, b): repeats among the passages of contexts, each a suffix of its own, sorted over all and compared with the one before."""
 
-def repeats_in_order(suffixes: DataFrame) -> DataFrame:
-    """(_id, start) of the suffixes that equal an earlier one, by sorted buckets and their boundaries."""
-    keys = ["lead", "print", "_id", "start"]
-    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = suffixes.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    @tidy
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                before, text = (batch.column(c)[k].as_py() for c in ("before", "suffix"))
+                n, context = len(before) + len(text) - length + 1, before + text
+                start = batch.column("at")[k].as_py() - len(before)
+                ids = np.full(n, batch.column("_id")[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([context[i : i + length] for i in range(n)], pa.binary()), pa.array(ids), pa.array(start + np.arange(n))], keys)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, first = TaskContext.get().partitionId(), None, None
-        names = ["kind", "part", "lead", "print", "_id", "start"]
+        names = ["part", "edge", "passage", "_id", "a"]
         for batch in batches:
-            lead, mark, ids, starts = (batch.column(k).to_numpy() for k in keys)
-            if not len(lead):
+            if not batch.num_rows:
                 continue
-            same = np.concatenate([[last == (lead[0], mark[0])], (lead[1:] == lead[:-1]) & (mark[1:] == mark[:-1])])
-            if first is None:
-                first = (lead[0], mark[0], ids[0], starts[0])
-            last = (lead[-1], mark[-1])
+            flat = batch.column("passage").to_pylist()
+            same = np.array([x == y for x, y in zip(flat, [last, *flat], strict=False)])
+            first, last = first or (flat[0], batch.column("_id")[0].as_py(), batch.column("a")[0].as_py()), flat[-1]
             hit = np.flatnonzero(same)
-            zero = np.zeros(len(hit), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(zero), pa.array(zero + part), pa.array(zero), pa.array(zero), pa.array(ids[hit]), pa.array(starts[hit])], names)
+            n = len(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary()), batch.column("_id").take(pa.array(hit)), batch.column("a").take(pa.array(hit))], names)
         if first is not None:
-            rows = [[1, part, *first], [2, part, *last, 0, 0]]
-            yield pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in rows], pa.int64()) for k in range(6)], names)
+            rows = [(part, 1, *first), (part, 2, last, 0, 0)]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    out = written(ordered.mapInArrow(run, "kind long, part long, lead long, print long, _id long, start long"), "suffixes")
-    firsts = out.where("kind = 1").select("part", "lead", "print", "_id", "start")
-    lasts = out.where("kind = 2").select(F.col("part").alias("of"), F.col("lead").alias("l"), F.col("print").alias("p"))
-    before = firsts.join(lasts, F.expr("lead = l and print = p and of < part"), "left_semi")
-    return out.where("kind = 0").select("_id", "start").unionByName(before.select("_id", "start"))
+    keys = ["passage", "_id", "a"]
+    order = held.select("_id", "at", "before", "suffix").mapInArrow(passages, "passage binary, _id long, a long")
+    order = order.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    out = written(order.mapInArrow(run, "part int, edge int, passage binary, _id long, a long"), "order")
+    lasts = out.where("edge = 2").select(F.col("part").alias("of"), F.col("passage").alias("last"))
+    firsts = out.where("edge = 1").join(lasts, F.expr("passage = last and of < part"), "left_semi")
+    return out.where("edge = 0").unionByName(firsts).select("_id", "a", (F.col("a") + length).alias("b"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(_id, spans array<long>) of docs(_id, t) with repeats: start and stop of each run in turn, runs apart from each other and in order.
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, int]:
+    """(_id, a, b): spans of docs(_id, t), start and stop, that together cover all repeats; and the number of partitions that suits the texts.
 
     ``_id`` must tell documents apart and order them.
     """
-    spark = docs.sparkSession
-    runs = passage_runs(docs, length, gram)
-    known = runs.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("several"))
-    known = written(known.where("n > 1").select("h", "several"), "grams")
-    if 9 * known.count() <= SENT_BYTES:
-        members = passage_runs(docs, length, gram, spark.sparkContext.broadcast(Grams(known.toArrow())))
-    else:
-        members = runs.join(known, "h")
-    members = written(members, "members")
-    place = F.struct("_id", "loc")
-    firsts = written(members.groupBy("h", "c").agg(F.min(place).alias("f"), F.count("*").alias("n"), F.first("several").alias("several")), "firsts")
-    later = firsts.where("n > 1").select("h", "c", "f")
-    whole = members.join(later, ["h", "c"]).where(place != F.col("f"))
-    start, count = F.shiftright("loc", 8), F.col("loc").bitwiseAND(F.lit(255))
-    spans = whole.select("_id", F.shiftleft(start, 24).bitwiseOR(count + (length - 1)).alias("span"))
-    places = written(firsts.where("several").groupBy("f._id").agg(F.collect_list("f.loc").alias("locs")), "places")
-    cut = F.transform("locs", lambda x: F.struct(F.shiftright(x, 8).alias("start"), F.substring("t", (F.shiftright(x, 8) + 1).cast("int"), (x.bitwiseAND(F.lit(255)) + (length - 1)).cast("int")).alias("bytes")))
-    contexts = docs.join(few_longs(places, "locs"), "_id").select("_id", F.explode(cut).alias("x")).select("_id", "x.start", "x.bytes")
-    contexts = written(contexts, "contexts")
-    single = repeats_in_order(suffix_rows(contexts, length))
-    single = single.select("_id", F.shiftleft("start", 24).bitwiseOR(F.lit(length)).alias("span"))
-    grouped = spans.unionByName(single).groupBy("_id").agg(F.collect_list("span").alias("spans"))
-
-    @tidy
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [[x for run in merged(s.values.to_numpy()) for x in run] for s in batch.column("spans")]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(held, pa.list_(pa.int64()))], ["_id", "spans"])
-
-    return grouped.mapInArrow(join, "_id long, spans array<long>")
-
-
-def few_longs(rows: DataFrame, column: str) -> DataFrame:
-    """A written table with an array of longs, marked for broadcast if all its longs together are small."""
-    n = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
-    return F.broadcast(rows) if 64 * n[0] + 8 * n[1] <= SENT_BYTES else rows
-
-
-def merged(spans: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs (start, stop) that packed spans (start << 24 | bytes, of one passage run each) cover."""
-    if not len(spans):
-        return []
-    spans = np.sort(spans)
-    a = spans >> 24
-    b = np.maximum.accumulate(a + (spans & 0xFFFFFF))
-    cut = np.flatnonzero(a[1:] > b[:-1])
-    return list(zip(a[np.append(0, cut + 1)].tolist(), b[np.append(cut, len(b) - 1)].tolist(), strict=True))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()[0]
+    parts = 1 + total // PART_BYTES
+    found = written(marks(docs, parts, length, gram), "marks")
+    held = written(contexts(docs, found, parts, length), "contexts")
+    size = F.octet_length("before") + F.octet_length("suffix") - (length - 1)
+    n, passages = held.agg(F.count(F.when(~F.col("apart"), 1)), F.coalesce(F.sum(F.when(F.col("apart"), size)), F.lit(0))).first()
+    spans = found.where(f"kind = {REPEAT}").select("_id", "a", "b")
+    spans = spans.unionByName(repeats_by_bucket(held.where("not apart"), 1 + n // BUCKET_ROWS, length, gram))
+    if passages:
+        spans = spans.unionByName(repeats_in_order(held.where("apart"), 1 + passages // BUCKET_PASSAGES, length))
+    spans = written(spans, "spans")
+    dropped(found, held)
+    return spans, parts
 
 
 def on_characters(text: bytes, start: int, stop: int) -> tuple[int, int]:
@@ -270,22 +378,12 @@ def on_characters(text: bytes, start: int, stop: int) -> tuple[int, int]:
     return start, stop
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, characters: bool = False) -> DataFrame:
-    """``documents`` with ``kept`` (binary, what is left of the text) and ``removed`` (array<struct<start,stop>>, byte runs).
-
-    Bytes are UTF-8; passages never cross documents and are judged on the
-    input.  Null texts count as empty: nothing is removed.  Documents shorter
-    than ``length`` bytes stay whole.  Where doc_ids repeat, rows are ordered
-    by doc_id (null first), then text, and then arbitrarily, and each row is a
-    document of its own.  ``characters`` leaves the bytes of characters that a
-    cut would split.  Input columns named ``kept`` or ``removed`` give way
-    to the new ones; all others are kept.
-    """
-    names = [c for c in documents.columns if c not in ("kept", "removed", "_id")]
-    documents = ordered_ids(documents.select(*[F.col(f"`{c}`") for c in names]))
-    docs = documents.select("_id", F.col("text").cast("binary").alias("t"))
-    spans = written(repeated_spans(docs, length, gram), "spans")
-    joined = documents.join(few_longs(spans, "spans"), "_id", "left").drop("_id")
+def cut_records(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, characters: bool = False) -> DataFrame:
+    """``without_repeats`` with the input's columns together in one struct ``_record``, so that none has to give way."""
+    docs = numbered(documents)
+    spans, parts = repeats(docs.select("_id", F.col("_record.text").cast("binary").alias("t")), length, gram)
+    each = spans.repartition(parts, "_id").groupBy("_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    joined = docs.repartition(parts, "_id").join(each.hint("shuffle_hash"), "_id", "left").select("_record", "spans")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,22 +392,38 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 kept, removed = [], []
-                spans = batch.column("spans")
-                for k, t in enumerate(batch.column("text").cast(pa.binary())):
-                    t = t.as_py() or b""
-                    held = spans[k].as_py() or []
-                    cuts = list(zip(held[::2], held[1::2], strict=True))
+                for t, held in zip(batch.column("_record").field("text").cast(pa.binary()), batch.column("spans"), strict=True):
+                    t, cuts = t.as_py() or b"", []
+                    if held.is_valid:
+                        a, b, _ = merged(held.values.field("a").to_numpy(), held.values.field("b").to_numpy())
+                        cuts = list(zip(a.tolist(), b.tolist(), strict=True))
                     if characters:
                         cuts = [(a, b) for a, b in (on_characters(t, *c) for c in cuts) if a < b]
                     removed.append([{"start": a, "stop": b} for a, b in cuts])
                     edges = [0, *(x for cut in cuts for x in cut), len(t)]
                     kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.binary()), pa.array(removed, kind)], [*names, "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([batch.column("_record"), pa.array(kept, pa.binary()), pa.array(removed, kind)], ["_record", "kept", "removed"])
 
-    schema = and_fields(documents.select(*[F.col(f"`{c}`") for c in names]).schema, "kept binary, removed array<struct<start:bigint,stop:bigint>>")
+    schema = and_fields(joined.select("_record").schema, "kept binary, removed array<struct<start:bigint,stop:bigint>>")
     return joined.mapInArrow(run, schema)
 
 
+def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, characters: bool = False) -> DataFrame:
+    """``documents`` with ``kept`` (binary, what is left of the text) and ``removed`` (array<struct<start,stop>>, byte runs).
+
+    Bytes are UTF-8; passages never cross documents and are judged on the
+    input.  Null texts count as empty: nothing is removed.  Documents shorter
+    than ``length`` bytes stay whole.  Where doc_ids repeat, rows are ordered
+    by doc_id (null first), then text, and then arbitrarily, and each row is a
+    document of its own.  ``characters`` leaves the bytes of characters that a
+    cut would split.  An empty table gives an empty one.  Input columns named
+    ``kept`` or ``removed`` give way to the new ones; all others are kept,
+    whatever their names.
+    """
+    names = [named(c) for c in documents.columns if c not in ("kept", "removed")]
+    return cut_records(documents.select(*names), length, gram, characters).select("_record.*", "kept", "removed")
+
+
 def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
     out = without_repeats(documents.select("doc_id", "text"), length)

@@ -19,9 +19,10 @@ def test_anchors_do_not_depend_on_the_size_of_the_text(monkeypatch):
     real = suffixes.Rolling.of
     monkeypatch.setattr(suffixes.Rolling, "of", lambda self, a, b: real(self, a, b) & np.uint64((1 << 40) - 1))
     data = np.random.default_rng(4).integers(97, 123, (1 << 24) + 5000, np.uint8).tobytes()
-    _, first, _, gram, _ = suffixes.anchors_of([data], 100, 32)
+    runs = suffixes.passage_runs(np.frombuffer(data, np.uint8), np.array([len(data)]), 100, 32)
+    first, gram = runs["first"], runs["h"]
     for at in (0, (1 << 23) - 1500, (1 << 24) - 500):
-        _, few, _, own, _ = suffixes.anchors_of([data[at : at + 3000]], 100, 32)
+        few = suffixes.passage_runs(np.frombuffer(data[at : at + 3000], np.uint8), np.array([3000]), 100, 32)
         passages = np.arange(2900)
-        got, want = gram[np.searchsorted(first, at + passages, "right") - 1], own[np.searchsorted(few, passages, "right") - 1]
+        got, want = gram[np.searchsorted(first, at + passages, "right") - 1], few["h"][np.searchsorted(few["first"], passages, "right") - 1]
         assert (got == want).all()

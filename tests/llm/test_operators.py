@@ -146,6 +146,43 @@ def test_suffixes(spark, seed):
     assert whole.where("not ok").count() == 0
 
 
+@pytest.mark.parametrize("often", [2, 2000])
+def test_suffixes_with_a_passage_in_most_texts(spark, monkeypatch, often):
+    """Anchors with very many contexts, within a batch and over all, are split."""
+    monkeypatch.setattr(suffixes, "OFTEN", often)
+    monkeypatch.setattr(suffixes, "BUCKET_PASSAGES", 500)
+    monkeypatch.setattr(suffixes, "BUCKET_ROWS", 100)
+    rng = random.Random(8)
+    shared, other = some_words(rng, 22), some_words(rng, 14)
+    texts = [some_words(rng, 6) + rng.choice([shared, shared[:110], other]) + some_words(rng, rng.randrange(9)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for parts in (1, 7):
+        got = {r.doc_id: bytes(r.kept) for r in suffixes.without_repeats(docs.repartition(parts)).collect()}
+        assert got == brute_removed([(i, t.encode()) for i, t in enumerate(texts)], 100)
+
+
+def test_multikey_order_and_bytes():
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 3, (20_000, 16), np.uint8)
+    rows[:, :9] = rows[:1, :9]
+    order = suffixes.multikey_order(rows)
+    assert [bytes(rows[k]) for k in order] == sorted(map(bytes, rows))
+    data = rng.integers(0, 2, 500, np.uint8)
+    one, other, size = rng.integers(0, 480, 900), rng.integers(0, 480, 900), rng.integers(1, 6, 900)
+    want = [bytes(data[a : a + n]) == bytes(data[b : b + n]) for a, b, n in zip(one, other, size, strict=True)]
+    assert suffixes.same_bytes(data, one, other, size).tolist() == want
+
+
+def test_suffixes_of_equal_hashes(spark, monkeypatch):
+    """Bytes decide: contexts whose hashes agree are not equal for that."""
+    texts = [bytes(np.random.default_rng(k).integers(97, 123, 300, np.uint8)) for k in range(4)]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([300] * 4)
+    runs = suffixes.passage_runs(data, ends, 100, 32)
+    monkeypatch.setattr(suffixes, "passage_runs", lambda *a: {**runs, "c": runs["c"] * 0, "h": runs["h"] * 0})
+    h, salt, kind, *_ = suffixes.marks_of(np.arange(4), texts, 100, 32)
+    assert (kind != suffixes.REPEAT).all()
+
+
 def test_suffixes_awkward(spark):
     out = suffixes.digests(awkward(spark)).collect()
     assert len(out) == 12 and sum(r.n_removed for r in out if r.doc_id == 5) == 300 and all(r.n_removed == 0 for r in out if r.doc_id == 4) is False
