@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import struct
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -212,15 +214,56 @@ def test_decontaminate(spark):
     docs = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, item_id int, words int")
     bench = spark.createDataFrame([*enumerate(items), (9, None), (1, items[1])], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(docs, bench).collect()}
-    assert set(got) == {(1, 0), (2, 0), (4, 1), (5, 2), (None, 1)} and got[1, 0] == 1
+    assert set(got) == {(1, 0), (2, 0), (4, 1), (5, 2), (6, 3), (None, 1)} and got[1, 0] == 1
     assert decontaminate.contamination(docs, bench.limit(0)).count() == decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
-def test_masks_find_two_substitutions():
-    first = decontaminate.MASKS[0]
-    for a in range(13):
-        for b in range(a):
-            assert any(not {a, b} & {p + k for k in first} for p in range(13 - first[-1]))
+def brute_contamination(docs, items):
+    """Every offset of every document and item, word by word."""
+    words = lambda t: [w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w]
+    out = {}
+    for i, t in docs:
+        for j, u in items:
+            d, b = words(t), words(u)
+            width = min(13, len(b))
+            for shift in range(-len(b), len(d) + 1) if b else []:
+                skip = max(-shift, 0)
+                n = min(len(b), len(d) - shift) - skip
+                same = [d[skip + shift + k] == b[skip + k] for k in range(max(n, 0))]
+                top = max((sum(same[k : k + width]) for k in range(n - width + 1)), default=0)
+                if top / width >= 0.8:
+                    old = out.get((i, j), (0, 0))
+                    out[i, j] = (max(old[0], top), max(old[1], n))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decontaminate_finds_every_offset(spark, seed, monkeypatch):
+    """Items of all lengths, with up to three words substituted anywhere; also with no side small enough to send."""
+    if seed == 3:
+        monkeypatch.setattr(decontaminate, "SEED_LIMIT", -1)
+    rng = random.Random(seed)
+    items = [(k, some_words(rng, n)) for k, n in enumerate([1, 2, 3, *range(4, 16), 40])]
+    docs = []
+    for k in range(150):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = rng.choice(["new", "alpha1"])
+        docs.append((rng.choice([k, k, k // 2, None]), " ".join([some_words(rng, rng.randrange(4)), *own, some_words(rng, rng.randrange(4))])))
+    want = {}
+    for key, (same, n) in ((key, x) for d in docs for key, x in brute_contamination([d], items).items()):
+        old = want.get(key, (0, 0))
+        want[key] = (max(old[0], same), max(old[1], n))
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.n_same, r.n_overlap) for r in got} == want and len(want) > 50
+
+
+def test_masks_find_every_allowed_substitution():
+    for width in range(1, 14):
+        wrong = decontaminate.wrong_words(width, 0.8)
+        masks = decontaminate.masks_for(width, wrong)
+        assert all(any(not {p + k for p in m} & set(c) for m in masks for k in range(width - m[-1])) for c in combinations(range(width), wrong))
+    assert [decontaminate.wrong_words(w, 0.8) for w in (4, 5, 9, 10, 13)] == [0, 1, 1, 2, 2] and len(decontaminate.masks_for(13, 2)) == 1
 
 
 def test_licenses(spark):
