@@ -117,6 +117,13 @@ def once_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids.join(single, "_id")), "_id")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most: what a task holds as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function that gives unused memory back to the system when it is done: workers outlive their tasks."""
 

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields, once_each, pieces, small_side, written
+from .common import and_fields, pieces, slices, small_side, written
 
-#: Labelled texts of the trigram model, at most (those of the smallest hash of doc_id).
-FIT_ROWS = 4_000
+#: Labelled texts of each language that the trigram model is fitted on, about.
+FIT_ROWS = 1_000
 SLOTS = 1 << 16
 #: A text's evidence counts like that of this many trigrams at most.
 TEMPER = 60.0
@@ -43,10 +43,27 @@ def folded(text: bytes | None) -> bytes:
     return b" " + b" ".join((text or b"").translate(LETTERS).split()) + b" "
 
 
+def tag_of(column: str) -> Column:
+    """A language tag's first part in small letters, null if that has not two or three letters."""
+    found = F.lower(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^\s*([A-Za-z]{2,3})\s*(?:$|[-_])", 1))
+    return F.when(found != "", found)
+
+
 def train(documents: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (SLOTS x languages) of trigrams, from at most ``rows`` texts with a lang whose doc_id occurs once."""
-    labelled = documents.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), "lang", "text")
-    picked = once_each(labelled, labelled.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows))
+    """Languages, all that rows with a text are labelled with, and log probabilities (SLOTS x languages) of trigrams.
+
+    About ``rows`` texts of each language are counted, or all if it has fewer,
+    chosen by the hash of their place; rare languages keep all theirs.  Tags
+    count by their first part; without labelled rows there are no languages.
+    """
+    labelled = documents.select(tag_of("lang").alias("lang"), F.col("text").cast("binary").alias("t")).where("lang is not null and t is not null")
+    sizes = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
+    table = np.full((SLOTS, len(langs)), 0.5)
+    if not langs:
+        return langs, np.zeros((SLOTS, 0), np.float32)
+    size = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(sizes[k]))])[F.col("lang")]
+    picked = labelled.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), size) < rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,9 +75,7 @@ def train(documents: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.nda
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], ["lang", "slot", "n"])
 
-    found = picked.select("lang", F.col("text").cast("binary").alias("t")).mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found.lang.unique())
-    table = np.full((SLOTS, len(langs)), 0.5)
+    found = picked.mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     for k, lang in enumerate(langs):
         own = found[found.lang == lang]
         table[own.slot.to_numpy(), k] += own.n.to_numpy()
@@ -74,18 +89,19 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             marks = batch.column("markup").to_pylist()
             texts = [folded(MARKUP.sub(b" ", t.as_py() or b"") if m else t.as_py()) for t, m in zip(batch.column("t"), marks, strict=True)]
             out = np.zeros((len(texts), table.shape[1]))
             sizes = np.array([len(t) - 2 for t in texts], np.int64)
             for a, b in pieces(texts):
                 at = slots_of(np.frombuffer(b"".join([*texts[a:b], b"  "]), np.uint8))
-                starts = np.cumsum([0, *(len(t) for t in texts[a:b])])[:-1]
+                stops = np.cumsum([len(t) for t in texts[a:b]])
+                edges = np.stack([stops - sizes[a:b] - 2, stops - 2], axis=1).ravel()  # a text's own trigrams, then those that reach into the next
                 for k in range(table.shape[1]):
-                    out[a:b, k] = np.add.reduceat(table[:, k][at], starts)
+                    out[a:b, k] = np.add.reduceat(table[:, k][at], edges)[::2]
             n = np.maximum(sizes, 1)
-            out = out / (n + 2)[:, None] * np.minimum(n, TEMPER)[:, None]
+            out = out / n[:, None] * np.minimum(n, TEMPER)[:, None]
             out[sizes <= 0] = 0
             ll = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.maximum(sizes, 0)), ll], [*kept, "n", "ll"])
@@ -94,8 +110,12 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def largest(parts: list[Column]) -> Column:
+    return F.greatest(*parts) if len(parts) > 1 else parts[0]
+
+
 def softmax(parts: list[Column]) -> list[Column]:
-    top = F.greatest(*parts)
+    top = largest(parts)
     powers = [F.exp(p - top) for p in parts]
     total = powers[0]
     for p in powers[1:]:
@@ -109,12 +129,16 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     ``t`` is the text or markup as bytes; ``declared`` a language tag or null;
     ``host`` a host or null.  Rows with neither letters nor a declaration get
     ``und`` with probability 0; a null host has the prior of everything.
-    Empty tables give empty results; repeated rows get equal rows.
+    With one language all other rows are of it; without any all are ``und``.
+    Empty tables give empty results; repeated rows get equal rows, whose
+    evidence counts for each other's host as that of different rows does.
     """
     k = range(len(langs))
     keys = [c for c in rows.columns if c not in ("t", "markup", "declared", "host")]
+    if not langs:
+        return rows.select(*keys, F.lit("und").alias("lang"), F.lit(0.0).alias("probability"), F.lit("und").alias("text_lang"))
     rows = rows.withColumns({
-        "declared": F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), r"^\s*([A-Za-z]+)", 1)),
+        "declared": F.coalesce(tag_of("declared"), F.lit("")),
         "domain": F.regexp_extract(F.coalesce("host", F.lit("")), r"([^.]+\.[^.]+)$|([^.]*)$", 0),
         "suffix": F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([^.]+)$", 1),
         "host": F.coalesce("host", F.lit("")),
@@ -133,7 +157,8 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     hosts = each.groupBy("host", "domain").agg(*[F.sum(c).alias(f"h{i}") for i, c in enumerate(q)])
     hosts = written(hosts.join(sums("domain", "d"), "domain").drop("domain"), "hosts")
     signs = [small_side(written(sums(by, name), by), 16 + 8 * len(langs)) for by, name in (("declared", "m"), ("suffix", "s"))]
-    joined = each.join(small_side(hosts, 64 + 16 * len(langs)), "host").join(signs[0], "declared").join(signs[1], "suffix")
+    wide = hosts.agg(F.coalesce(F.max(F.octet_length("host")), F.lit(0))).first()[0]
+    joined = each.join(small_side(hosts, 32 + wide + 16 * len(langs)), "host").join(signs[0], "declared").join(signs[1], "suffix")
 
     own = [F.col(c) for c in q]
     d_total = sum((F.col(f"d{i}") - own[i] for i in k), F.lit(0.0))
@@ -150,7 +175,7 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
         logs.append(part + F.when(F.col("suffix") == "", F.lit(0.0)).otherwise(F.log(F.greatest(at, F.lit(1e-9)))))
 
     def best(parts: list[Column]) -> Column:
-        top = F.greatest(*parts)
+        top = largest(parts)
         out = F.lit(langs[-1])
         for i in reversed(k[:-1]):
             out = F.when(parts[i] == top, F.lit(langs[i])).otherwise(out)
@@ -162,7 +187,7 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     return scored.select(
         *keys,
         F.when(known, best(post)).otherwise(F.lit("und")).alias("lang"),
-        F.when(known, F.greatest(*post)).otherwise(F.lit(0.0)).alias("probability"),
+        F.when(known, largest(post)).otherwise(F.lit(0.0)).alias("probability"),
         F.when(F.col("n") > 0, best(ll)).otherwise(F.lit("und")).alias("text_lang"),
     )
 
@@ -170,11 +195,11 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 def languages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """One row for each document (doc_id; its source stands for the host) and page (page_id): lang, probability, text_lang.
 
-    Columns besides those named here are not read.
+    Documents have no address and no markup: text and source alone tell.  Null
+    and empty texts are ``und``, null ids stay null, repeated ids are rows like
+    others.  Columns besides those named here are not read.
     """
     langs, table = train(documents)
-    if len(langs) < 2:
-        raise ValueError("texts of two languages at least are needed to tell them apart")
     html, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("binary").alias("t"), F.lit(False).alias("markup"), F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
     web = pages.select(

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,33 @@ LICENSES: dict[str, tuple[str, str, str, str]] = {
     "all-rights-reserved": ("all rights reserved", r"all rights reserved", r"licenseref-proprietary", r"example\.invalid/all-rights-reserved"),
 }
 
+#: label: (keyword, pattern) of sentences that stand in the licences' own texts.
+TEXTS: dict[str, tuple[str, str]] = {
+    "mit": ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    "isc": ("permission to use, copy, modify", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    "bsd": ("redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    "bsd-3-clause": ("neither the name", r"neither the names? of .{1,200}? may be used to endorse or promote products derived from this software"),
+    "bsd-4-clause": ("advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    "apache": ("apache license", r"you may not use this file except in compliance with the license|unless required by applicable law or agreed to in writing, software distributed under the license"),
+    "gpl": ("gnu general public", r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
+    "lgpl": ("general public", r"this library is free software[:;] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+    "agpl": ("affero", r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e"),
+    "mpl": ("mozilla", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    "epl": ("eclipse", r"the accompanying (?:program|materials) (?:is|are) (?:provided|made available) under the terms of this eclipse public licen[sc]e"),
+    "zlib": ("as-is", r"this software is provided 'as-is', without any express or implied warranty"),
+    "boost": ("boost", r"boost software licen[sc]e - version 1\.0"),
+    "unlicense": ("unencumbered", r"this is free and unencumbered software released into the public domain"),
+    "cc0": ("associated a work", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    "wtfpl": ("verbatim or modified", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document"),
+    "artistic": ("artistic", r"the intent of this document is to state the conditions under which a package may be copied"),
+    "ofl": ("open font", r"this font software is licensed under the sil open font licen[sc]e"),
+    "ncsa": ("deal with the software", r"to deal with the software without restriction"),
+    "postgresql": ("without a written agreement", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    "as-is": ("without warranty", r'the software is provided "as is", without warranty of any kind'),
+}
+#: Priority and confidence of such a sentence.
+TEXT_PRIORITY, TEXT_CONFIDENCE = 35, 0.95
+
 #: kind: (priority, confidence, keyword or the licence's own, pattern around the licence's parts).
 KINDS = {
     "spdx": (40, 1.0, "spdx", r"spdx-license-identifier:\s*{spdx}(?![\w.-])"),
@@ -97,7 +125,8 @@ KINDS = {
     "name": (10, 0.8, None, r"(?<![\w-])(?:{name})(?![\w-])"),
 }
 BASE_CONFIDENCE = 0.7
-SPACING = re.compile(r"[ \t]*\n[ \t]*|[ \t]{2,}|\t")
+#: Line breaks with the comment marks that start the next line, and wide spaces, count as one space.
+SPACING = re.compile(r"[ \t]*\n[ \t]*(?:(?://+|[#*;]+)[ \t]*)?|[ \t]{2,}|\t")
 
 
 @dataclass(frozen=True)
@@ -117,6 +146,7 @@ def rules() -> tuple[Rule, ...]:
         for label, (keyword, name, spdx, site) in LICENSES.items():
             key = site.replace("\\", "").split("/")[0] if "{site}" in form else gate or keyword
             out.append(Rule(label, tuple(key.split("|")), priority, confidence, re.compile(form.format(name=name, spdx=spdx, site=site))))
+    out += [Rule(label, (keyword,), TEXT_PRIORITY, TEXT_CONFIDENCE, re.compile(pattern)) for label, (keyword, pattern) in TEXTS.items()]
     return tuple(out)
 
 
@@ -137,14 +167,32 @@ def detect(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, confidence) of unsuppressed detections in lower-cased text."""
     flat = SPACING.sub(" ", text)
     wanted = sorted({k for _, at in gate().iter(flat) for k in at})
-    found = [(-r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.confidence) for k in wanted for r in (rules()[k],) for m in r.pattern.finditer(flat)]
-    taken: list[tuple[int, int]] = []
-    out = []
-    for _, _, s, e, label, confidence in sorted(found):
-        if not any(a <= s and e <= b for a, b in taken):
-            taken.append((s, e))
-            out.append((s, e, label, confidence))
-    return sorted(out)
+    found = [(m.start(), m.end(), k) for k in wanted for m in rules()[k].pattern.finditer(flat)]
+    return [(s, e, rules()[k].label, rules()[k].confidence) for s, e, k in unsuppressed(found, [r.priority for r in rules()])]
+
+
+def unsuppressed(found: list[tuple[int, int, int]], priority: list[int]) -> list[tuple[int, int, int]]:
+    """Of detections (start, end, rule) those that lie within none that comes first, in order of place.
+
+    One of a higher priority comes first, then a longer one, then the rule of
+    the smaller number.  From the highest priority down, the furthest end of
+    all that start no later tells whether a detection lies within another.
+    """
+    if not found:
+        return []
+    start, end, rule = np.array(sorted(found, key=lambda x: (x[0], -x[1], x[2])), np.int64).T
+    level, kept = np.array(priority)[rule], np.zeros(len(start), bool)
+    far = np.full(len(start), -1)  # furthest end of higher priorities that start no later
+    for one in np.unique(level)[::-1]:
+        own = np.flatnonzero(level == one)
+        before = np.maximum.accumulate(end[own])
+        within = np.append(False, before[:-1] >= end[own][1:]) | (far[own] >= end[own])
+        kept[own] = ~within
+        ends = np.full(len(start), -1)
+        ends[own] = end[own]
+        last = np.searchsorted(start, start, side="right") - 1
+        far = np.maximum(far, np.maximum.accumulate(ends)[last])
+    return [(int(s), int(e), int(k)) for s, e, k in zip(start[kept], end[kept], rule[kept], strict=True)]
 
 
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}

@@ -22,8 +22,8 @@ from .common import once_each
 
 #: Labelled documents that the field is trained on, at most (those of the smallest hash).
 FIT_ROWS = 1_500
-#: Lines of a training sequence; longer documents are cut into several.
-FIT_LINES = 64
+#: Lines of a training sequence; longer documents are cut into several, of which at most so many are taken (those of the smallest hash).
+FIT_LINES, FIT_SEQUENCES = 64, 12_000
 CONTENT_SHARE = 0.5
 SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
@@ -185,17 +185,19 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Crf:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [], []
-            for t, q in zip(batch.column("t"), batch.column("quality"), strict=True):
+            out = [], [], []
+            for doc, t, q in zip(batch.column("_id").to_pylist(), batch.column("t"), batch.column("quality"), strict=True):
                 _, features, _, repeats = read(t.as_py())
                 good = q.as_py() == 1
                 for i in range(0, len(features), FIT_LINES):
                     out[0].append(features[i : i + FIT_LINES])
                     out[1].append([int(good and not r) for r in repeats[i : i + FIT_LINES]])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.list_(pa.int32()))), pa.array(out[1], pa.list_(pa.int32()))], ["x", "y"])
+                    out[2].append((doc << 20) + i)
+            yield pa.RecordBatch.from_arrays([pa.array([((k + (1 << 63)) % (1 << 64)) - (1 << 63) for k in out[2]], pa.int64()), pa.array(out[0], pa.list_(pa.list_(pa.int32()))), pa.array(out[1], pa.list_(pa.int32()))], ["place", "x", "y"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("t"))
-    found = once_each(docs, picked).select("t", "quality").mapInArrow(run, "x array<array<int>>, y array<int>").toArrow()
+    found = once_each(docs, picked).select("_id", "t", "quality").mapInArrow(run, "place long, x array<array<int>>, y array<int>")
+    found = found.orderBy(F.xxhash64("place"), "place").limit(FIT_SEQUENCES).select("x", "y").toArrow()
     sequences = sorted(zip(found.column("x").to_pylist(), found.column("y").to_pylist(), strict=True))
     if not any(1 in y for _, y in sequences) or not any(0 in y for _, y in sequences):
         return plain_field()

@@ -71,7 +71,7 @@ def shuffle_shards(documents: DataFrame, shards: int = SHARDS, seed: int = SEED,
         shard = np.searchsorted(cuts, position, side="right") - 1
         return pa.table({"_record": bucket.column("_record").take(pa.array(order)), "shard": pa.array(shard, pa.int32()), "slot": pa.array(position - cuts[shard], pa.int64())})
 
-    out = scattered.groupBy("_bucket").applyInArrow(write, and_fields(scattered.select("_record").schema, "shard int, slot long"))
+    out = scattered.repartition(int(buckets), "_bucket").groupBy("_bucket").applyInArrow(write, and_fields(scattered.select("_record").schema, "shard int, slot long"))
     out.select("_record.*", *OWN).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     back = spark.read.schema(out.select("_record.*", "slot", "shard").schema).parquet(path)
     held = {r.shard: (r.n, r.top) for r in back.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()}

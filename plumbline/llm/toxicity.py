@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields, named, pieces, small_side, tidy, whole_id, written
+from .common import and_fields, named, pieces, slices, small_side, tidy, whole_id, written
 
 ORDER = 5
 #: The model is sent to all tasks up to so many bytes (12 a key).
@@ -36,7 +36,7 @@ SENT_BYTES = 48 << 20
 #: Labelled texts of the fold left out of the counts that the logistic curve is fitted on, at most.
 FIT_ROWS = 20_000
 #: Text that a task counts at a time.
-COUNT_BYTES = 4 << 20
+COUNT_BYTES = 1 << 20
 #: Symbols in a passage, short and long.
 PASSAGES = (12, 48)
 FEATURES = ("whole", "short", "long")
@@ -130,7 +130,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
             texts = batch.column("text").to_pylist()
             for a, b in pieces(texts, COUNT_BYTES):
@@ -257,7 +257,7 @@ def with_evidence(rows: DataFrame, model: Model) -> DataFrame:
 
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield pa.RecordBatch.from_arrays(judged(batch, sent.value), names)
 
         return rows.mapInArrow(run, schema)

@@ -71,6 +71,21 @@ def test_language(spark):
     assert all(by[i].lang == ("en" if i % 2 else "de") for i in range(80)) and by[90].lang == "und"
     assert sorted((r.page_id, r.lang) for r in rows if r.page_id)[:2] == [(1, "de"), (2, "und")]
     assert language.languages(docs, pages.limit(0)).count() == 82
+    none = language.languages(docs.limit(0), pages).collect()
+    assert [(r.lang, r.probability, r.text_lang) for r in none] == [("und", 0.0, "und")] * 4
+    one = {r.doc_id: r for r in language.languages(docs.where("lang = 'de' or doc_id = 90").withColumn("_id", F.lit(1)), pages).collect()}
+    assert (one[2].lang, one[2].probability, one[90].lang) == ("de", 1.0, "und")
+    rare = docs.unionByName(spark.createDataFrame([(95, "lumi nari lumi tako nari", "fi-FI", None, 1), (96, "tako lumi", "not a tag", None, 1)], docs.schema))
+    assert language.train(rare)[0] == ["de", "en", "fi"] and {r.doc_id: r.lang for r in language.languages(rare, pages).collect()}[95] == "fi"
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbour(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"abc de"), False), (2, bytearray(b"xyz"), False), (3, bytearray(b""), False), (4, bytearray(b"abc de"), False), (5, bytearray(b"q"), False)], "k long, t binary, markup boolean").coalesce(1)
+    table = np.random.default_rng(2).normal(size=(language.SLOTS, 3)).astype(np.float32)
+    got = {r.k: r for r in language.text_evidence(rows, table).collect()}
+    assert np.allclose(got[1].ll, got[4].ll) and got[3].ll == [0, 0, 0]
+    at = language.slots_of(np.frombuffer(b" abc de ", np.uint8))
+    assert np.allclose(got[1].ll, table[at].sum(axis=0), rtol=1e-5) and got[1].n == 6
 
 
 def test_urls(spark):
@@ -272,6 +287,22 @@ def test_licenses(spark):
     assert (base, base_labels, labels) == (3, "apache,cc-by,gpl", "apache,cc-by,cc-by-nc,gpl,mit") and first == 5 and last > first and 0.9 < score <= 1
     assert licenses.scan(None) == (0, 0, None, None, "", "", 0.0) and len(licenses.rules()) > 200
     assert licenses.licenses(awkward(spark)).count() == 12 and licenses.licenses(empty(spark)).count() == 0
+    rng = random.Random(1)
+    level = [40, 30, 10, 20, 30]
+    for _ in range(500):
+        found = list({(a, a + rng.randrange(1, 8), rng.randrange(5)) for a in [rng.randrange(12) for _ in range(rng.randrange(9))]})
+        taken = []
+        for s, e, k in sorted(found, key=lambda x: (-level[x[2]], x[0] - x[1], x[0], x[2])):
+            if not any(a <= s and e <= b for a, b, _ in taken):
+                taken.append((s, e, k))
+        assert sorted(taken) == sorted(licenses.unsuppressed(found, level))
+    assert licenses.detect("/*\n * permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software\n")[0][2] == "mit"
+    for _ in range(200):
+        words = rng.choices(["cc", "by", "mit", "license", "gnu", "general", "public", "apache", "é"], k=rng.randrange(30))
+        places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + phrase.count(" ") + 1] == phrase.split()]
+        n, base, first, last, base_labels, _, _ = licenses.scan(", ".join(words).upper().replace("É", "é").encode())
+        assert (n, base, base_labels) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
+        assert (first, last) == ((min(places)[0], max(places)[0]) if places else (None, None))
     flat = text.lower()
     for r in licenses.rules():
         if r.pattern.search(flat):
