@@ -221,11 +221,11 @@ add("dup_fuzzy_pairs", lambda s, d: records.fuzzy_pairs(records.fuzzy_keys(conte
 add("dup_fuzzy_clusters", lambda s, d: records.components(records.fuzzy_pairs(records.fuzzy_keys(context_of(defects(s, d), FUZZY)))))
 add("fd_pairs", lambda s, d: records.fd_conflicts(defects(s, d), [("product_code", "product_name"), ("zip_code", "state"), ("city", "state")]).groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts"), F.count_distinct("key").alias("groups")), f"{WITH_D}, p as (select 'product_code' det, 'product_name' dep, lower(trim(product_code)) k, trim(product_name) v, __row__ r from d union all select 'zip_code', 'state', lower(trim(zip_code)), trim(state), __row__ from d union all select 'city', 'state', lower(trim(city)), trim(state), __row__ from d), q as (select *, first_value(v) over (partition by det, dep, k order by r) e from p) select det, dep, count(*) evaluated, count(*) filter (lower(v) <> lower(e)) conflicts, count(distinct k) as groups from q group by 1, 2")
 add("fd_cardinality", lambda s, d: counts_frame(s, records.cardinality_holds(record_rule("cardinality_holds"), context_of(defects(s, d), ["city", "state"]))), f"{WITH_D}, q as (select lower(trim(state)) v, lower(first_value(trim(state)) over (partition by lower(trim(city)) order by __row__)) e, lower(trim(city)) v2, lower(first_value(trim(city)) over (partition by lower(trim(state)) order by __row__)) e2 from d) select 2 * count(*) evaluated, count(*) filter (v <> e) + count(*) filter (v2 <> e2) failed from q")
-add("fd_nation_region", lambda s, d: records.fd_conflicts(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias(ROW), "n_name", F.col("n_regionkey").cast("string").alias("region")), [("n_name", "region"), ("region", "n_name")]).groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts")), "with p as (select 'n_name' det, 'region' dep, lower(n_name) k, cast(n_regionkey as varchar) v, n_nationkey r from nation union all select 'region', 'n_name', cast(n_regionkey as varchar), n_name, n_nationkey from nation), q as (select *, first_value(v) over (partition by det, dep, k order by r) e from p) select det, dep, count(*) evaluated, count(*) filter (lower(v) <> lower(e)) conflicts from q group by 1, 2")
+add("fd_nation_region", lambda s, d: records.fd_conflicts(table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.expr("c_nationkey = n_nationkey")).select(F.col("c_custkey").cast("long").alias(ROW), "n_name", F.col("n_regionkey").cast("string").alias("region")), [("n_name", "region"), ("region", "n_name")]).groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts")), "with c as (select * from customer join nation on c_nationkey = n_nationkey), p as (select 'n_name' det, 'region' dep, lower(n_name) k, cast(n_regionkey as varchar) v, c_custkey r from c union all select 'region', 'n_name', cast(n_regionkey as varchar), n_name, c_custkey from c), q as (select *, first_value(v) over (partition by det, dep, k order by r) e from p) select det, dep, count(*) evaluated, count(*) filter (lower(v) <> lower(e)) conflicts from q group by 1, 2")
 add("dep_populated", lambda s, d: counts_frame(s, records.dependent_field_populated(record_rule("dependent_field_populated", support=0.85), context_of(defects(s, d), ["phone", "email"]))), f"{WITH_D} select count(*) filter ({P('phone')}) evaluated, count(*) filter ({P('phone')} and not {P('email')}) failed from d having count(*) filter ({P('phone')} and {P('email')}) / count(*) filter ({P('phone')}) >= 0.85 union all select 0, 0 from (select count(*) filter ({P('phone')} and {P('email')}) / count(*) filter ({P('phone')}) s from d) where s < 0.85")
 add("fk_orphans", lambda s, d: records.orphans(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), table(s, d, "orders"), "l_orderkey", "o_orderkey").agg(F.count("*").alias("orphans")), "select count(*) orphans from lineitem where l_orderkey not in (select o_orderkey from orders)")
 add("childless_parents", lambda s, d: records.orphans(table(s, d, "customer").select("c_custkey"), table(s, d, "orders"), "c_custkey", "o_custkey").select("c_custkey"), "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
-add("lookup_codes", lambda s, d: records.orphans(table(s, d, "customer").select("c_custkey", "c_mktsegment"), table(s, d, "customer").where("c_custkey % 7 = 0").groupBy("c_mktsegment").count().orderBy("c_mktsegment").limit(3), "c_mktsegment", "c_mktsegment").groupBy("c_mktsegment").agg(F.count("*").alias("n")), "with k as (select c_mktsegment from customer where c_custkey % 7 = 0 group by 1 order by 1 limit 3) select c_mktsegment, count(*) n from customer where c_mktsegment not in (select c_mktsegment from k) group by 1")
+add("lookup_codes", lambda s, d: records.orphans(table(s, d, "part").select("p_partkey", "p_brand"), table(s, d, "lineitem").select("l_partkey").distinct(), "p_partkey", "l_partkey").groupBy("p_brand").agg(F.count("*").alias("n")), "select p_brand, count(*) n from part where p_partkey not in (select l_partkey from lineitem) group by 1")
 
 
 # Examples, scores and serving -------------------------------------------------
@@ -284,4 +284,4 @@ add("assessment_status", lambda s, d: registry.assessment_status(registry.runs_f
 add("session_user", lambda s, d: registry.sessions(table(s, d, "orders"), table(s, d, "customer")), registry.SESSION_SQL)
 add("dashboard_top5", lambda s, d: registry.dashboard(registry.runs_from_orders(table(s, d, "orders"))), registry.DASHBOARD_SQL)
 add("picker_search", lambda s, d: serve.search(table(s, d, "part").select("p_partkey", "p_name", "p_brand"), "BRAND#3", "p_name", "p_brand").select("p_partkey"), "select p_partkey from part where contains(lower(p_name), 'brand#3') or contains(lower(p_brand), 'brand#3')")
-add("unknown_values", lambda s, d: table(s, d, "customer").select("c_mktsegment").distinct().join(table(s, d, "customer").where("c_custkey < 4").select("c_mktsegment"), "c_mktsegment", "left_anti"), "select distinct c_mktsegment from customer where c_mktsegment not in (select c_mktsegment from customer where c_custkey < 4)")
+add("unknown_values", lambda s, d: records.orphans(table(s, d, "customer").select("c_nationkey").distinct(), table(s, d, "supplier").select("s_nationkey").distinct(), "c_nationkey", "s_nationkey").select("c_nationkey"), "select distinct c_nationkey from customer where c_nationkey not in (select s_nationkey from supplier)")
