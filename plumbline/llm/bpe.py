@@ -122,7 +122,7 @@ class WordBpe:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], bpe: WordBpe, text: str) -> Iterator[pa.RecordBatch]:
-    """Batches with ``ids`` and ``decoded``, SLICE rows at a time."""
+    """Batches with ``ids`` and ``decoded``, SLICE rows at a time; what the encoder remembers goes with the task, as workers outlive it."""
     for whole in batches:
         for at in range(0, whole.num_rows, SLICE):
             batch = whole.slice(at, SLICE)
@@ -130,6 +130,7 @@ def encoded(batches: Iterator[pa.RecordBatch], bpe: WordBpe, text: str) -> Itera
             ends = np.cumsum([0, *(len(a) // 4 for a in got)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(map(bpe.decode, got), pa.string())], [*batch.schema.names, "ids", "decoded"])
+    bpe.young, bpe.old = {}, {}
 
 
 @lru_cache(1)

@@ -55,12 +55,12 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def small_side(df: DataFrame, row_bytes: int, limit_bytes: int = 48 << 20) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows stay below the limit, else unmarked.
+    """``df`` marked for broadcast if its counted rows, at twice their bare size, stay below the limit, else unmarked.
 
     Give a written table: the count reads only its footers.  Unmarked, a join
     shuffles both sides and splits skewed keys at run time.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+    return F.broadcast(df) if 2 * df.count() * row_bytes <= limit_bytes else df
 
 
 def and_fields(schema: StructType, ddl: str) -> StructType:

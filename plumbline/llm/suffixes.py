@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import and_fields, dropped, named, numbered, tidy, written
+from .common import and_fields, dropped, named, numbered, slices, tidy, written
 
 LENGTH = 100
 GRAM = 32
@@ -42,8 +42,8 @@ SLICE = 1 << 19
 PART_BYTES, BUCKET_ROWS, BUCKET_PASSAGES = 8 << 20, 50_000, 200_000
 #: An anchor's different contexts in a batch of documents, and in all, beyond which its passages are sorted each for itself.
 OFTEN_HERE, OFTEN = 32, 2_000
-#: Rows of an Arrow batch that are cut at a time.
-ROWS = 500
+#: Rows of an Arrow batch that are searched, and cut, at a time.
+SEARCHED, ROWS = 4_000, 500
 #: Kinds of marks: a run to compare, that an anchor is to be split, a run of such an anchor, a repeat (start and stop).
 RUN, SPLIT, APART, REPEAT = range(4)
 #: Parts below this size are sorted at once instead of being divided further.
@@ -111,8 +111,8 @@ def passage_runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) ->
 def same_bytes(data: np.ndarray, one: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether ``size`` bytes from each of ``one`` equal those from the matching ``other``; sizes over 0."""
     out = np.zeros(len(one), bool)
-    for a in range(0, len(one), 1 << 14):
-        n = size[a : a + (1 << 14)]
+    for a in range(0, len(one), 1 << 12):
+        n = size[a : a + (1 << 12)]
         begin = np.cumsum(n) - n
         step = np.arange(n.sum()) - np.repeat(begin, n)
         equal = data[np.repeat(one[a : a + len(n)], n) + step] == data[np.repeat(other[a : a + len(n)], n) + step]
@@ -134,14 +134,22 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def marks_of(ids: np.ndarray, texts: list[bytes], length: int, gram: int) -> list[np.ndarray]:
+def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one after another, without a copy, and where each value ends; null has none."""
+    _, places, held = column.buffers()
+    ends = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held is not None else np.zeros(0, np.uint8)
+    return data, ends[1:] - ends[0]
+
+
+def marks_of(ids: np.ndarray, column: pa.Array, length: int, gram: int) -> list[np.ndarray]:
     """h, salt, kind, _id, a, b of a batch: of runs to compare a is first << 16 | off << 8 | count, of repeats a and b are start and stop.
 
     Runs of an anchor with many contexts here carry the batch's salt, so that no task gets all of them.
     """
-    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    data, ends = laid_out(column)
     r = passage_runs(data, ends, length, gram)
-    begin = ends - np.array([len(t) for t in texts], np.int64)
+    begin = ends - np.diff(ends, prepend=0)
     order = np.lexsort((r["first"], ids[r["owner"]], r["c"]))
     r = {k: x[order] for k, x in r.items()}
     again = np.flatnonzero((r["c"][1:] == r["c"][:-1]) & (r["count"][1:] == r["count"][:-1]) & (r["off"][1:] == r["off"][:-1])) + 1
@@ -168,8 +176,8 @@ def marks(docs: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = marks_of(batch.column("_id").to_numpy(), [t.as_py() or b"" for t in batch.column("t")], length, gram)
+        for batch in slices(batches, SEARCHED):
+            got = marks_of(batch.column("_id").to_numpy(), batch.column("t"), length, gram)
             kinds = (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64)
             for at in range(0, len(got[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].astype(k)) for x, k in zip(got, kinds, strict=True)], names)

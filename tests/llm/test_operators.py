@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -196,7 +197,7 @@ def test_suffixes_of_equal_hashes(spark, monkeypatch):
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([300] * 4)
     runs = suffixes.passage_runs(data, ends, 100, 32)
     monkeypatch.setattr(suffixes, "passage_runs", lambda *a: {**runs, "c": runs["c"] * 0, "h": runs["h"] * 0})
-    h, salt, kind, *_ = suffixes.marks_of(np.arange(4), texts, 100, 32)
+    h, salt, kind, *_ = suffixes.marks_of(np.arange(4), pa.array(texts, pa.binary()), 100, 32)
     assert (kind != suffixes.REPEAT).all()
 
 
