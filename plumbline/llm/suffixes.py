@@ -37,13 +37,13 @@ from .common import and_fields, dropped, named, numbered, slices, tidy, written
 LENGTH = 100
 GRAM = 32
 #: Bytes that anchors are searched in at a time; positions in it fit in 24 bits.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Bytes of text for a partition, about; contexts, and passages of split anchors, in a bucket, about.
 PART_BYTES, BUCKET_ROWS, BUCKET_PASSAGES = 8 << 20, 50_000, 200_000
 #: An anchor's different contexts in a batch of documents, and in all, beyond which its passages are sorted each for itself.
 OFTEN_HERE, OFTEN = 32, 2_000
 #: Rows of an Arrow batch that are searched, and cut, at a time.
-SEARCHED, ROWS = 4_000, 500
+SEARCHED, ROWS = 1_000, 500
 #: Kinds of marks: a run to compare, that an anchor is to be split, a run of such an anchor, a repeat (start and stop).
 RUN, SPLIT, APART, REPEAT = range(4)
 #: Parts below this size are sorted at once instead of being divided further.
