@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,13 +22,15 @@ BUFFER = 1 << 19
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the cluster names none (a local session, as in tests) a
-    temporary folder is made and set.
+    Only where a local session names none (as in tests) a temporary folder is
+    made and set; on a cluster that names none this raises ValueError.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-plumbline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
