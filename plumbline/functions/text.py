@@ -27,6 +27,12 @@ DATE_LADDER = (
 )
 ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$"
 
+# Forms without a fixed order of parts: what may hold one, and how its parts are found once weekdays and commas are gone.
+FREE = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|^\d{1,2}[/.-]\d{1,2}[/.-]\d{4},? +\d{1,2}:\d{2}"
+WEEKDAY = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+"
+MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\.?"
+CLOCK = r"^(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)? ?([ap]m)?$"
+
 
 def strip(x: Column) -> Column:
     """Without white space (Unicode) at either end; null stays null."""
@@ -83,7 +89,27 @@ def date_steps(v: Column) -> list[tuple[str, Column]]:
             text = F.initcap(F.replace(text, F.lit("-"), F.lit(" ")))
             pattern = pattern.replace("-", " ")
         out.append((name, F.when(v.rlike(form), F.try_to_timestamp(text, F.lit(pattern)))))
-    return [*out, ("mixed", F.when(v.rlike(ISO_TIME), v.try_cast("timestamp")))]
+    return [*out, ("mixed", F.when(v.rlike(ISO_TIME), v.try_cast("timestamp")).when(v.rlike(FREE), free_date(v)))]
+
+
+def free_date(v: Column) -> Column:
+    """A date with a named month, or a numeric one with a clock time: weekday, ordinals, commas and am or pm are read; numeric ones month first where they can be."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(v), WEEKDAY, ""), r"(?<=\d)(?:st|nd|rd|th)\b", "")
+    t = F.regexp_replace(t, r"[,\s]+(?:at )?", " ")
+    for form, to in (
+        (rf"^(\d{{1,2}})[ -]{MONTH}[ -](\d{{4}})(?: |$)", "$1 $2 $3|"),
+        (rf"^{MONTH}[ -](\d{{1,2}})[ -](\d{{4}})(?: |$)", "$2 $1 $3|"),
+        (rf"^(\d{{4}})[ -]{MONTH}[ -](\d{{1,2}})(?: |$)", "$3 $2 $1|"),
+        (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}) ", "$1/$2/$3|"),
+    ):
+        t = F.regexp_replace(t, form, to)
+    day, clock = F.substring_index(t, "|", 1), F.when(F.contains(t, F.lit("|")), F.substring_index(t, "|", -1))
+    at = F.coalesce(F.try_to_timestamp(F.initcap(day), F.lit("d MMM yyyy")), F.try_to_timestamp(day, F.lit("M/d/yyyy")), F.try_to_timestamp(day, F.lit("d/M/yyyy")))
+    hour, minute, second = (F.coalesce(F.regexp_extract(clock, CLOCK, k).try_cast("int"), F.lit(0)) for k in (1, 2, 3))
+    half = F.regexp_extract(clock, CLOCK, 4)
+    fits = (minute < 60) & (second < 60) & F.when(half == "", hour < 24).otherwise(hour.between(1, 12))
+    of_day = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    return F.when(clock == "", at).when(clock.rlike(CLOCK) & fits, at + F.make_dt_interval(F.lit(0), of_day, minute, second.cast("decimal(18,6)")))
 
 
 def date(x: Column) -> Column:

@@ -94,8 +94,8 @@ class CsvDataset:
         return self.too_long.count()
 
 
-def read_csv(spark: SparkSession, path: str, sample_above: int = config.MAX_ROWS_FULL) -> CsvDataset:
-    """Read one delimited file; its type is sniffed, values are cleaned, large files sampled by stride."""
+def read_csv(spark: SparkSession, path: str, sample_above: int | None = None) -> CsvDataset:
+    """Read one delimited file; its type is sniffed, values are cleaned, files of more than ``sample_above`` rows (None: none) sampled by stride."""
     if not path.lower().endswith((".csv", ".tsv", ".txt")):
         raise ValueError("give a .csv, .tsv or .txt file")
     files = spark.read.format("binaryFile").load(path)
@@ -106,7 +106,7 @@ def read_csv(spark: SparkSession, path: str, sample_above: int = config.MAX_ROWS
     good = parsed.where(F.col("width") <= width)
     cells = [unformula(F.nullif(F.get("cells", F.lit(k)), F.lit(""))).alias(name) for k, name in enumerate(dialect.columns)]
     df = good.select((F.col("n") + dialect.header_row + 2).alias(ROW), *cells)
-    return CsvDataset(dialect, systematic(df, sample_above), parsed.where(F.col("width") > width))
+    return CsvDataset(dialect, df if sample_above is None else systematic(df, sample_above), parsed.where(F.col("width") > width))
 
 
 def systematic(df: DataFrame, above: int = config.MAX_ROWS_FULL, target: int = config.SAMPLE_TARGET_ROWS, rows: int | None = None, first: int = 2) -> DataFrame:
