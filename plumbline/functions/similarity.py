@@ -35,10 +35,13 @@ def token_set(a: str, b: str) -> float:
     both = sorted(x & y)
     if both and (x <= y or y <= x):
         return 100.0
-    shared = " ".join(both)
-    left, right = (" ".join(filter(None, [shared, " ".join(sorted(s - set(both)))])) for s in (x, y))
-    best = ratio(left, right)
-    return max(best, ratio(shared, left), ratio(shared, right)) if both else best
+    left, right = (" ".join(sorted(s.difference(both))) for s in (x, y))
+    if not both:
+        return ratio(left, right)
+    # Each side is the shared words, a space and its own words, so all three ratios follow from what the own words have in common.
+    n = len(" ".join(both))
+    a, b = n + 1 + len(left), n + 1 + len(right)
+    return max(200.0 * (n + 1 + lcs(left, right)) / (a + b), 200.0 * n / (n + a), 200.0 * n / (n + b))
 
 
 @pandas_udf(DoubleType())

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
+from ..shared import written
+from .quantiles import quantiles
 
 ROW = "__row__"
 BOOLEANS = ("true", "false", "yes", "no", "y", "n", "t", "f", "1", "0")
@@ -61,13 +63,14 @@ def numbers(cells: DataFrame) -> DataFrame:
     v = F.col("v")
     clean = F.regexp_replace(F.regexp_replace(v, "[, ]", ""), r"^[$€£₹]+", "")
     num = F.when(clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), clean.cast("double"))
-    part = cells.where("v is not null and v <> ''").select("column", num.alias("num"))
+    part = written(cells.where("v is not null and v <> ''").select("column", num.alias("x")), "numbers")
     found = part.groupBy("column").agg(
-        F.min("num").alias("num_min"), F.max("num").alias("num_max"), F.avg("num").alias("num_mean"), F.median("num").alias("num_median"),
-        F.count_if(F.col("num") < 0).alias("negatives"), F.avg(F.col("num").isNotNull().cast("double")).alias("rate_decimal"),
+        F.min("x").alias("num_min"), F.max("x").alias("num_max"), F.avg("x").alias("num_mean"),
+        F.count_if(F.col("x") < 0).alias("negatives"), F.avg(F.col("x").isNotNull().cast("double")).alias("rate_decimal"),
     )
-    mad = part.join(F.broadcast(found.select("column", F.col("num_median").alias("m"))), "column").groupBy("column").agg(F.median(F.abs(F.col("num") - F.col("m"))).alias("mad"))
-    return found.join(mad, "column")
+    middle = written(quantiles(part, (0.5,)).withColumnRenamed("q0", "num_median"), "medians")
+    apart = part.join(F.broadcast(middle), "column").select("column", F.abs(F.col("x") - F.col("num_median")).alias("x"))
+    return found.join(middle, "column", "left").join(quantiles(apart, (0.5,)).withColumnRenamed("q0", "mad"), "column", "left")
 
 
 def rates(cells: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ conditional counts on data keyed by hashes.
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,6 +17,7 @@ from .. import config
 from ..functions import text as X
 from ..functions.similarity import token_set_ratio
 from ..plans.rules import Rule
+from ..shared import written
 from .checks import Context
 
 ROW = "__row__"
@@ -82,7 +81,7 @@ def exact_record_duplicate(rule: Rule, context: Context) -> Found | None:
     names = [c["column"] for c in cdes(context)]
     if not names:
         return None
-    key = F.concat_ws(SEPARATOR, *[F.lower(X.trimmed(text_of(n))) for n in names])
+    key = F.concat_ws(SEPARATOR, *[F.lower(context.trimmed(n)) for n in names])
     blank = key == SEPARATOR * (len(names) - 1)
     key = F.when(blank, F.concat(key, F.col(ROW).cast("string"))).otherwise(key)
     shown = F.when(blank, "(blank)").otherwise(F.left(F.replace(key, F.lit(SEPARATOR), F.lit(" | ")), F.lit(config.VALUE_CHARS)))
@@ -100,18 +99,13 @@ def candidate_key_duplicate(rule: Rule, context: Context) -> Found | None:
     if (name := key_column(context, rule.params.get("distinctness", 0.95))) is None:
         return None
     x = text_of(name)
-    rows = context.df.where(X.trimmed(x) != "")
-    return counted(later_occurrences(rows, F.lower(X.trimmed(x)), X.shown(x), name))
+    rows = context.df.where(context.trimmed(name) != "")
+    return counted(later_occurrences(rows, F.lower(context.trimmed(name)), X.shown(x), name))
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component) of the undirected edges (a, b): smallest reachable node, by alternating star steps with checkpoints."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-plumbline-"))
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    """(node, component) of the undirected edges (a, b): smallest reachable node, by alternating star steps, each written to the shared folder."""
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -119,7 +113,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = small.where("u <> v").distinct().checkpoint()
+        now = written(small.where("u <> v").distinct(), "edges")
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == before:
             break
@@ -140,7 +134,7 @@ def fuzzy_keys(context: Context) -> DataFrame | None:
     keys = []
     for c in fields:
         x, kind = text_of(c["column"]), c["semantic_type"]
-        v = F.lower(X.trimmed(x))
+        v = F.lower(context.trimmed(c["column"]))
         if kind == "email":
             keys.append(F.when(v.contains("@") & (F.split(v, "@")[0] != ""), F.concat(F.lit("e:"), F.split(v, "@")[0])))
         elif kind == "phone":
@@ -255,7 +249,7 @@ def dependent_field_populated(rule: Rule, context: Context) -> Found | None:
     if not pairs:
         return None
     names = list(dict.fromkeys(n for p in pairs for n in p))
-    once = context.df.select(*[X.present(text_of(n)).alias(f"p{k}") for k, n in enumerate(names)])
+    once = context.df.select(*[context.present(n).alias(f"p{k}") for k, n in enumerate(names)])
     here = [(F.col(f"p{names.index(a)}"), F.col(f"p{names.index(b)}")) for a, b in pairs]
     counts = once.agg(*[f for k, (a, b) in enumerate(here) for f in (F.count_if(a).alias(f"s{k}"), F.count_if(a & b).alias(f"b{k}"))]).first()
     best: dict[str, tuple] = {}
@@ -265,7 +259,7 @@ def dependent_field_populated(rule: Rule, context: Context) -> Found | None:
             best[b] = (both / seen, seen, both, a)
     if not best:
         return None
-    made = F.array(*[F.struct(F.lit(b).alias("column"), X.shown(text_of(b)).alias("value"), F.lit(f"{a} is filled").alias("reason"), X.present(text_of(a)).alias("ok"), (~X.present(text_of(b))).alias("failed")) for b, (_, _, _, a) in sorted(best.items())])
+    made = F.array(*[F.struct(F.lit(b).alias("column"), X.shown(text_of(b)).alias("value"), F.lit(f"{a} is filled").alias("reason"), context.present(a).alias("ok"), (~context.present(b)).alias("failed")) for b, (_, _, _, a) in sorted(best.items())])
     rows = context.df.select(F.col(ROW).alias("row"), F.explode(made).alias("p")).where("p.ok").select("row", "p.column", "p.value", "p.reason", "p.failed")
     return Found(sum(v[1] for v in best.values()), sum(v[1] - v[2] for v in best.values()), rows)
 

@@ -7,8 +7,10 @@ and all their examples come from one exploded pass.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +20,7 @@ from .. import config
 from ..functions import text as X
 from ..operators import checks, records
 from ..operators import profile as profiles
+from ..shared import written
 from . import score
 from .rules import Rule, bind, default_pack
 
@@ -28,7 +31,7 @@ EXAMPLES = "rule_id string, dimension string, validity string, row long, column
 
 @dataclass
 class Assessment:
-    """What an assessment yields; examples is a lazy DataFrame, all else is small."""
+    """What an assessment yields; examples is a lazy DataFrame, planned when first asked for, all else is small."""
 
     spark: SparkSession
     rows: int
@@ -37,10 +40,15 @@ class Assessment:
     results: list[dict[str, Any]]
     errors: dict[str, str]
     not_assessed: dict[str, str]
-    examples: DataFrame
+    found_examples: Callable[[], list[DataFrame]]
     scores: dict[str, float | None] = field(default_factory=dict)
     overall: float | None = None
 
+    @cached_property
+    def examples(self) -> DataFrame:
+        none = self.spark.createDataFrame([], EXAMPLES)
+        return reduce(DataFrame.unionByName, self.found_examples(), none)
+
     @property
     def bands(self) -> dict[str, str]:
         return {d: score.band_of(s) for d, s in self.scores.items()}
@@ -69,14 +77,24 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def prepared(df: DataFrame, profile: list[dict[str, Any]]) -> DataFrame:
-    """With each critical date column read as dates, once."""
-    dates = [c["column"] for c in profile if c["is_cde"] and (c["semantic_type"] in ("date", "datetime") or c["inferred_type"] in ("date", "datetime"))]
-    return df.withColumns({f"__date__{n}": X.date(F.col(f"`{n}`").cast("string")) for n in dates}) if dates else df
+    """With what many rules ask of each critical column, worked out once: stripped text, presence, date and format of the date."""
+    made = {}
+    for c in profile:
+        if c["is_cde"]:
+            name, x = c["column"], F.col(f"`{c['column']}`").cast("string")
+            made |= {f"__trimmed__{name}": X.trimmed(x), f"__present__{name}": X.present(x)}
+            if c["semantic_type"] in ("date", "datetime") or c["inferred_type"] in ("date", "datetime"):
+                made |= {f"__date__{name}": X.date(x), f"__format__{name}": X.date_format(x)}
+    return df.withColumns(made) if made else df
 
 
 def outcomes(rules: list[Rule], context: checks.Context, errors: dict[str, str]) -> list[tuple[Rule, checks.Outcome]]:
     """Cell rules with what they evaluate; rules with nothing to evaluate are pruned, failing ones recorded."""
     out = []
+    try:
+        context.gather(rules)
+    except Exception:
+        context.found.clear()  # each rule asks alone then, so that a faulty one is recorded as its own
     for rule in rules:
         if rule.check not in checks.CELL_CHECKS:
             continue
@@ -116,6 +134,13 @@ def cell_examples(df: DataFrame, bound: list[tuple[Rule, checks.Outcome]], cap:
     return first_of_each(rows, cap)
 
 
+def record_examples(rule: Rule, rows: DataFrame, cap: int) -> DataFrame:
+    """The first violations and valid rows of a record rule."""
+    failed = F.col("failed")
+    own = rows.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.dimension).alias("dimension"), F.when(failed, "violation").otherwise("valid").alias("validity"), "row", "column", "value", F.when(failed, F.coalesce("reason", F.lit(rule.message))).alias("reason"))
+    return first_of_each(own, cap)
+
+
 def first_of_each(rows: DataFrame, cap: int) -> DataFrame:
     order = Window.partitionBy("rule_id", "validity").orderBy("row")
     return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap).drop("_k")
@@ -133,10 +158,10 @@ def assess(df: DataFrame, as_of: datetime, rules: list[Rule] | None = None, cdes
     not_assessed = {d: why for d, why in gates.items() if why}
     bound = [r for r in bind(rules or default_pack(), profile) if r.dimension not in not_assessed]
     errors: dict[str, str] = {}
-    df = prepared(df, profile)
-    context = checks.Context(df, profile, as_of, others or {})
+    context = checks.Context(written(prepared(df, profile), "prepared"), profile, as_of, others or {})
     cells = outcomes(bound, context, errors)
-    results, examples = [], [e] if (e := cell_examples(df, cells, cap)) is not None else []
+    df = context.df
+    results, record_rows = [], []
     for (rule, _), (evaluated, failed) in zip(cells, cell_counts(df, cells), strict=True):
         results.append((rule, evaluated, failed))
     for rule in bound:
@@ -148,8 +173,7 @@ def assess(df: DataFrame, as_of: datetime, rules: list[Rule] | None = None, cdes
                 continue
             if found is not None:
                 results.append((rule, found.evaluated, found.failed))
-                own = found.rows.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.dimension).alias("dimension"), F.when(F.col("failed"), "violation").otherwise("valid").alias("validity"), "row", "column", "value", F.when(F.col("failed"), F.coalesce("reason", F.lit(rule.message))).alias("reason"))
-                examples.append(first_of_each(own, cap))
+                record_rows.append((rule, found.rows))
     order = {r.id: k for k, r in enumerate(bound)}
     kept = [
         {"rule_id": r.id, "template_id": r.template_id, "name": r.name, "dimension": r.dimension, "severity": r.severity, "column": r.column, "evaluated": e, "failed": f}
@@ -159,11 +183,12 @@ def assess(df: DataFrame, as_of: datetime, rules: list[Rule] | None = None, cdes
     for d in config.DIMENSIONS:
         if d not in not_assessed and not any(r["dimension"] == d for r in kept):
             not_assessed[d] = "no rule applies"
-    spark = df.sparkSession
-    all_examples = spark.createDataFrame([], EXAMPLES)
-    for e in examples:
-        all_examples = all_examples.unionByName(e)
-    out = Assessment(spark, rows, profile, bound, kept, errors, not_assessed, all_examples)
+
+    def examples() -> list[DataFrame]:
+        made = [record_examples(r, rows, cap) for r, rows in record_rows]
+        return [e, *made] if (e := cell_examples(df, cells, cap)) is not None else made
+
+    out = Assessment(df.sparkSession, rows, profile, bound, kept, errors, not_assessed, examples)
     out.scores, out.overall = score.score_dict(kept, not_assessed)
     return out
 

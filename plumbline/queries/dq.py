@@ -76,7 +76,7 @@ def check_query(check: str, column: str, params: dict, more: tuple[str, ...], ro
         context = checks.Context(df, profiles.profile(df, [column, *more]), AS_OF)
         rule = Rule("Q", check, "validity", check, params=params, column=column)
         o = checks.CELL_CHECKS[check](F.col(column).cast("string"), rule, context)
-        out = df.agg(F.count_if(o.evaluated).alias("evaluated"), F.count_if(o.evaluated & o.failed).alias("failed")) if o else spark.sql("select 0L evaluated, 0L failed")
+        out = context.df.agg(F.count_if(o.evaluated).alias("evaluated"), F.count_if(o.evaluated & o.failed).alias("failed")) if o else spark.sql("select 0L evaluated, 0L failed")
         return out.select(F.lit(column).alias("column_name"), "evaluated", "failed")
 
     return run

@@ -23,8 +23,9 @@ SCHEMA = "batch long, rule_id string, dimension string, severity string, column
 
 def batch_counts(df: DataFrame, profile: list[dict[str, Any]], as_of: datetime, rules: list[Rule] | None = None) -> list[tuple]:
     """(rule_id, dimension, severity, column, evaluated, failed) of every bound cell rule over one batch."""
-    df = prepared(df, profile)
-    bound = outcomes(bind(rules or default_pack(), profile), Context(df, profile, as_of), {})
+    context = Context(prepared(df, profile), profile, as_of)
+    bound = outcomes(bind(rules or default_pack(), profile), context, {})
+    df = context.df
     return [(r.id, r.dimension, r.severity, r.column, e, f) for (r, _), (e, f) in zip(bound, cell_counts(df, bound), strict=True)]
 
 
