@@ -27,8 +27,9 @@ def quantiles(rows: DataFrame, shares: tuple[float, ...]) -> DataFrame:
             ("hi", F.max("x") if q >= 1 - MARGIN else F.percentile_approx("x", F.lit(q + MARGIN), F.lit(ACCURACY))),
         )
     ]
-    brackets = rows.groupBy("column").agg(F.count("*").alias("n"), *ends)
-    each = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("n") - 1)).alias("at"), F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi")) for k, q in enumerate(shares)])
+    brackets = rows.groupBy("column").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), *ends)
+    few = F.col("n") <= ACCURACY  # neighbouring places may be further apart than the margin there
+    each = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("n") - 1)).alias("at"), F.when(few, F.col("least")).otherwise(F.col(f"lo{k}")).alias("lo"), F.when(few, F.col("most")).otherwise(F.col(f"hi{k}")).alias("hi")) for k, q in enumerate(shares)])
     # One row for each column of a dataset and quantile: a few hundred bytes each, whatever the number of records.
     wanted = brackets.select("column", F.explode(each).alias("w")).select("column", "w.*")
     near = rows.join(F.broadcast(wanted), "column").where("x <= hi")
