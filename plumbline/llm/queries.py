@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffixes, toxicity, urls
+from . import bpe, decontaminate, language, licenses, quality, sharding, simhash, suffixes, toxicity, urls, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -61,5 +61,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_language, op4_urls, op5_quality, op6_simhash, op7_suffixes, op8_toxicity, op9_decontaminate, op10_licenses)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_language, op4_urls, op5_quality, op6_simhash, op7_suffixes, op8_toxicity, op9_decontaminate, op10_licenses, op11_whitening)}
 ORACLES = {"op4_urls": urls.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
