@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontaminate, language, licenses, quality, sharding, simhash, suffixes, toxicity, urls, whitening
+from . import bpe, conversations, decontaminate, language, licenses, pii, quality, sharding, simhash, suffixes, toxicity, urls, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -69,5 +69,9 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repairs(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_language, op4_urls, op5_quality, op6_simhash, op7_suffixes, op8_toxicity, op9_decontaminate, op10_licenses, op11_whitening, op12_conversations)}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_language, op4_urls, op5_quality, op6_simhash, op7_suffixes, op8_toxicity, op9_decontaminate, op10_licenses, op11_whitening, op12_conversations, op13_pii)}
 ORACLES = {"op4_urls": urls.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
