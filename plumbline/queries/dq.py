@@ -18,7 +18,8 @@ from ..operators import checks, records
 from ..operators import profile as profiles
 from ..plans import assess, registry, score, serve
 from ..plans.rules import EMAIL, Rule, bind, default_pack
-from ..sources.rowcsv import systematic
+from ..shared import fresh_path
+from ..sources.rowcsv import CsvDataset, read_csv, systematic
 
 AS_OF = datetime(2024, 7, 1)
 ROW = "__row__"
@@ -228,6 +229,38 @@ add("childless_parents", lambda s, d: records.orphans(table(s, d, "customer").se
 add("lookup_codes", lambda s, d: records.orphans(table(s, d, "part").select("p_partkey", "p_brand"), table(s, d, "lineitem").select("l_partkey").distinct(), "p_partkey", "l_partkey").groupBy("p_brand").agg(F.count("*").alias("n")), "select p_brand, count(*) n from part where p_partkey not in (select l_partkey from lineitem) group by 1")
 
 
+# Delimited files ---------------------------------------------------------------
+
+
+def as_csv(df: DataFrame, name: str, range_bytes: int) -> CsvDataset:
+    """A table written as delimited files, every value quoted, and read back by ranges of its bytes."""
+    path = f"{fresh_path(df.sparkSession, name)}"
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return read_csv(df.sparkSession, path, range_bytes=range_bytes)
+
+
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their line breaks and quotes through files: what comes back, by language."""
+    read = as_csv(table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "concat('\"', text, '\"\n,') as text"), "documents", 1 << 20).df
+    return read.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"), F.sum(F.col("doc_id").cast("long")).alias("ids"))
+
+
+def csv_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines that have a cell too many where the customer has a certain last digit: records, dropped and kept ones."""
+    path = fresh_path(spark, "orders")
+    line = "concat_ws(',', o_orderkey, o_custkey, concat('\"', o_orderpriority, '\n\"'), case when o_custkey % 10 = 3 then 'one too many' end)"
+    lines = table(spark, sf_dir, "orders").selectExpr(f"{line} as value", "monotonically_increasing_id() & ((1L << 33) - 1) = 0 as first")
+    # the first line of each task, and so of each file, gets the header before it
+    lines.selectExpr("case when first then concat('order,customer,priority\n', value) else value end").write.text(path)
+    got = read_csv(spark, path, range_bytes=1 << 18)
+    kept = got.df.agg(F.count("*").alias("kept"), F.sum(F.col("order").cast("long")).alias("orders"))
+    return kept.select(F.lit(got.records).cast("long").alias("records"), F.lit(got.dropped()).cast("long").alias("dropped"), "kept", "orders")
+
+
+add("csv_scan", csv_scan, "select lang, count(*) n, cast(sum(length('\"' || text || '\"' || chr(10) || ',')) as bigint) chars, cast(sum(doc_id) as bigint) ids from documents group by 1")
+add("csv_bad_rows", csv_bad_rows, "select count(*) records, count(*) filter (o_custkey % 10 = 3) dropped, count(*) filter (o_custkey % 10 <> 3) kept, cast(sum(o_orderkey) filter (o_custkey % 10 <> 3) as bigint) orders from orders")
+
+
 # Examples, scores and serving -------------------------------------------------
 
 

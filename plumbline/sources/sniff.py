@@ -94,11 +94,11 @@ def names_of(cells: list[str]) -> tuple[list[str], list[str]]:
     return out, notes
 
 
-def sniff(head: bytes) -> Dialect:
-    """The dialect of a file by its head."""
-    encoding = encoding_of(head)
+def sniff(head: bytes, encoding: str | None = None, delimiter: str | None = None) -> Dialect:
+    """The dialect of a file by its head; what is given is not guessed."""
+    encoding = encoding or encoding_of(head)
     text = head.decode(encoding, errors="replace")
-    delimiter, confidence = delimiter_of(text)
+    delimiter, confidence = (delimiter, 1.0) if delimiter else delimiter_of(text)
     header = header_of(text, delimiter)
     columns, notes = names_of(records(text, delimiter, header + 1)[header])
     return Dialect(encoding, delimiter, confidence, header, columns, notes)
