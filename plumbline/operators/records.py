@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
-from ..functions.similarity import token_set_ratio
 from ..plans.rules import Rule
 from ..shared import written
+from . import fuzzy
 from .checks import Context
 
 ROW = "__row__"
@@ -148,44 +148,12 @@ def fuzzy_keys(context: Context) -> DataFrame | None:
     return rows
 
 
-def fuzzy_pairs(rows: DataFrame, threshold: float = config.FUZZY_THRESHOLD, max_block: int | None = config.FUZZY_MAX_BLOCK) -> DataFrame:
-    """(a, b, score) of row pairs that share a block and are similar.
-
-    Blocks of more than max_block members are noise by the rule's definition
-    (``block_sizes`` reports them); None compares every block.
-    """
-    keyed = rows.select("row", F.explode("keys").alias("key")).distinct()
-    fit = block_sizes(rows).where(F.col("members") <= max_block if max_block else F.lit(True)).where("members > 1").select("key")
-    members = keyed.join(fit, "key")
-    pairs = members.withColumnRenamed("row", "a").join(members.withColumnRenamed("row", "b"), "key").where("a < b").select("a", "b").distinct()
-    texts = rows.select("row", "text")
-    pairs = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return pairs.withColumn("score", token_set_ratio("ta", "tb")).where(F.col("score") >= threshold).select("a", "b", "score")
-
-
-def block_sizes(rows: DataFrame) -> DataFrame:
-    """(key, members) of each block of ``fuzzy_keys``: which of them, and how many records, a limit leaves out."""
-    return rows.select("row", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("members"))
-
-
-def fuzzy_links(rows: DataFrame, threshold: float = config.FUZZY_THRESHOLD) -> DataFrame:
-    """(a, b) with the components that comparing whole blocks, whatever their size, would give.
-
-    Records of equal text and equal keys link to the first of them, and only
-    those meet, so that copies do not make a block large.
-    """
-    first = rows.groupBy("text", F.array_sort("keys").alias("keys")).agg(F.min("row").alias("row"))
-    copies = rows.select("row", "text", F.array_sort("keys").alias("keys")).where(F.size("keys") > 0).join(first.withColumnRenamed("row", "a"), ["text", "keys"]).where("row <> a")
-    return fuzzy_pairs(first, threshold, None).select("a", "b").unionByName(copies.select("a", F.col("row").alias("b")))
-
-
 @record_check("fuzzy_duplicate")
 def fuzzy_duplicate(rule: Rule, context: Context) -> Found | None:
     if (rows := fuzzy_keys(context)) is None:
         return None
-    threshold, limit = rule.params.get("threshold", config.FUZZY_THRESHOLD), rule.params.get("max_block_size", config.FUZZY_MAX_BLOCK)
-    pairs = fuzzy_pairs(rows, threshold, limit) if limit else fuzzy_links(rows, threshold)
-    member = components(pairs)
+    rows = written(rows, "fuzzy")
+    member = components(fuzzy.links(rows, rule.params.get("threshold", config.FUZZY_THRESHOLD), rule.params.get("max_block_size")))
     out = rows.join(member, rows.row == member.node, "left")
     failed = F.coalesce(F.col("row") != F.col("component"), F.lit(False))
     reason = F.when(failed, F.concat(F.lit("similar to row "), F.col("component").cast("string")))

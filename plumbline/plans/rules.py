@@ -55,7 +55,7 @@ def default_pack() -> list[Rule]:
         _rule("VAL-NEGATIVE", "numeric_range", "medium", "Quantity not negative", "A quantity is not negative", {"allow_negative": False}, name_matches="quantity|qty|count|age|weight|height|duration"),
         _rule("UNQ-EXACT", "exact_record_duplicate", "high", "Record occurs once", scope="record"),
         _rule("UNQ-KEY", "candidate_key_duplicate", "high", "Key occurs once", params={"distinctness": 0.95}, scope="record"),
-        _rule("UNQ-FUZZY", "fuzzy_duplicate", "medium", "No similar record", params={"threshold": 88, "max_block_size": 500}, scope="record"),
+        _rule("UNQ-FUZZY", "fuzzy_duplicate", "medium", "No similar record", params={"threshold": 88, "max_block_size": None}, scope="record"),
         _rule("CON-PATTERN", "pattern_consistent", "medium", "Format as in the column", params={"coverage": 0.95}, min_fill_rate=0.1),
         _rule("CON-CASE", "consistent_casing", "low", "Casing as in the column", semantic_type=["person_name", "org_name", "city", "state", "country", "category"]),
         _rule("CON-WHITESPACE", "no_surrounding_whitespace", "low", "No white space around the value"),

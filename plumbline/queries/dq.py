@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import config, refdata
 from ..functions import text as X
-from ..operators import checks, records
+from ..operators import checks, fuzzy, records
 from ..operators import profile as profiles
 from ..plans import assess, registry, score, serve
 from ..plans.rules import EMAIL, Rule, bind, default_pack
-from ..shared import fresh_path
+from ..shared import fresh_path, written
 from ..sources.rowcsv import CsvDataset, read_csv, systematic
 
 AS_OF = datetime(2024, 7, 1)
@@ -218,8 +218,31 @@ add("dup_exact", dup_documents, f"select doc_id as \"row\", row_number() over (p
 add("dup_key", lambda s, d: records.later_occurrences(defects(s, d), F.lower(X.trimmed(F.col("customer_id"))), X.shown(F.col("customer_id")), "customer_id").select("row", "column", "value", "failed"), f"{WITH_D} select __row__ as \"row\", 'customer_id' as \"column\", customer_id as value, row_number() over (partition by lower(trim(customer_id)) order by __row__) > 1 failed from d")
 add("dup_exact_examples", lambda s, d: records.later_occurrences(defects(s, d), F.lower(X.trimmed(F.col("full_name"))), X.shown(F.col("full_name")), "full_name").where("failed").orderBy("row").limit(200).select("row", "reason"), f"{WITH_D} select r as \"row\", 'same as row ' || f reason from (select __row__ r, min(__row__) over (partition by lower(trim(full_name))) f from d) where r > f order by r limit 200")
 FUZZY = ["full_name", "email", "phone"]
-add("dup_fuzzy_pairs", lambda s, d: records.fuzzy_pairs(records.fuzzy_keys(context_of(defects(s, d), FUZZY))))
-add("dup_fuzzy_clusters", lambda s, d: records.components(records.fuzzy_pairs(records.fuzzy_keys(context_of(defects(s, d), FUZZY)))))
+def fuzzy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(fuzzy.representatives(records.fuzzy_keys(context_of(defects(spark, sf_dir), FUZZY))), "fuzzy")
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two strings, row by row of the usual table."""
+    row = f"list_prepend([0 for x in range(length({b}) + 1)], [[ascii(y)] for y in string_split({a}, '')])"
+    cells = f"[[prev[i], prev[i + 1], case when ascii({b}[i]) = ch[1] then 1 else 0 end] for i in range(1, length({b}) + 1)]"
+    return f"case when {a} = '' or {b} = '' then 0 else list_last(list_reduce({row}, lambda prev, ch: list_reduce(list_prepend([0], {cells}), lambda acc, t: list_append(acc, greatest(list_last(acc), t[2], t[1] + t[3]))))) end"
+
+
+NORMAL = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
+FUZZY_SQL = f"""{WITH_D}, n as (select __row__ r, {NORMAL.format('full_name')} a, {NORMAL.format('email')} b, {NORMAL.format('phone')} c, lower(trim(coalesce(email, ''))) m, regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g') p from d),
+ t as (select r, concat_ws(' ', nullif(a, ''), nullif(b, ''), nullif(c, '')) txt, list_sort(list_filter([case when length(a) >= 3 then 'n:' || left(a, 3) || left(regexp_replace(a, '[aeiou]', '', 'g'), 4) end,
+  case when contains(m, '@') and split_part(m, '@', 1) <> '' then 'e:' || split_part(m, '@', 1) end, case when length(p) >= 7 then 'p:' || right(p, 7) end], lambda x: x is not null)) ks from n),
+ f as (select txt, ks, min(r) r from t where txt <> '' group by 1, 2), k as (select r, txt, unnest(ks) k from f),
+ q as (select distinct x.r a, y.r b, list_distinct(string_split(x.txt, ' ')) u, list_distinct(string_split(y.txt, ' ')) v from k x join k y on x.k = y.k and x.r < y.r),
+ w as (select a, b, list_intersect(u, v) s, list_sort(list_filter(u, lambda x: not list_contains(v, x))) ul, list_sort(list_filter(v, lambda x: not list_contains(u, x))) vl from q),
+ z as (select a, b, length(array_to_string(s, ' ')) n, len(s) m, array_to_string(ul, ' ') l, array_to_string(vl, ' ') r from w),
+ o as (select a, b, n, m, l, r, {lcs_sql('l', 'r')} c from z where 200 * (n + 1 + least(length(l), length(r))) >= 88 * (2 * n + 2 + length(l) + length(r)) or m > 0),
+ g as (select a, b, case when m > 0 and (l = '' or r = '') then 100.0 when m = 0 then 200.0 * c / (length(l) + length(r))
+  else greatest(200.0 * (n + 1 + c) / (2 * n + 2 + length(l) + length(r)), 200.0 * n / (2 * n + 1 + length(l)), 200.0 * n / (2 * n + 1 + length(r))) end score from o)"""
+add("dup_fuzzy_pairs", lambda s, d: fuzzy.pairs(fuzzy_rows(s, d)).withColumn("score", F.round("score", 6)), f"{FUZZY_SQL} select a, b, round(cast(score as double), 6) score from g where score >= 88")
+# components of a graph with few links: labels spread along paths until none changes
+add("dup_fuzzy_clusters", lambda s, d: records.components(fuzzy.pairs(fuzzy_rows(s, d))), f"{FUZZY_SQL.replace('with d', 'with recursive d', 1)}, e as materialized (select a, b from g where score >= 88), h as (select a x, b y from e union select b, a from e), reach(x, y) as (select x, x from h union select reach.x, h.y from reach join h on reach.y = h.x) select x node, min(y) component from reach group by 1")
 add("fd_pairs", lambda s, d: records.fd_conflicts(defects(s, d), [("product_code", "product_name"), ("zip_code", "state"), ("city", "state")]).groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts"), F.count_distinct("key").alias("groups")), f"{WITH_D}, p as (select 'product_code' det, 'product_name' dep, lower(trim(product_code)) k, trim(product_name) v, __row__ r from d union all select 'zip_code', 'state', lower(trim(zip_code)), trim(state), __row__ from d union all select 'city', 'state', lower(trim(city)), trim(state), __row__ from d), q as (select *, first_value(v) over (partition by det, dep, k order by r) e from p) select det, dep, count(*) evaluated, count(*) filter (lower(v) <> lower(e)) conflicts, count(distinct k) as groups from q group by 1, 2")
 add("fd_cardinality", lambda s, d: counts_frame(s, records.cardinality_holds(record_rule("cardinality_holds"), context_of(defects(s, d), ["city", "state"]))), f"{WITH_D}, q as (select lower(trim(state)) v, lower(first_value(trim(state)) over (partition by lower(trim(city)) order by __row__)) e, lower(trim(city)) v2, lower(first_value(trim(city)) over (partition by lower(trim(state)) order by __row__)) e2 from d) select 2 * count(*) evaluated, count(*) filter (v <> e) + count(*) filter (v2 <> e2) failed from q")
 add("fd_nation_region", lambda s, d: records.fd_conflicts(table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.expr("c_nationkey = n_nationkey")).select(F.col("c_custkey").cast("long").alias(ROW), "n_name", F.col("n_regionkey").cast("string").alias("region")), [("n_name", "region"), ("region", "n_name")]).groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts")), "with c as (select * from customer join nation on c_nationkey = n_nationkey), p as (select 'n_name' det, 'region' dep, lower(n_name) k, cast(n_regionkey as varchar) v, c_custkey r from c union all select 'region', 'n_name', cast(n_regionkey as varchar), n_name, c_custkey from c), q as (select *, first_value(v) over (partition by det, dep, k order by r) e from p) select det, dep, count(*) evaluated, count(*) filter (lower(v) <> lower(e)) conflicts from q group by 1, 2")

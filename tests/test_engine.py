@@ -145,13 +145,3 @@ def test_one_faulty_rule_does_not_stop_others(spark):
     fine = R.Rule("OK", "x", "completeness", "not_null")
     a = A.assess(df, AS_OF, [broken, fine], cdes=["email"])
     assert list(a.errors) == ["BAD-01"] and [r["rule_id"] for r in a.results] == ["OK-01"]
-
-
-def test_large_blocks_of_copies(spark):
-    """Links of whole blocks give the components of all pairs, however many copies a block holds."""
-    texts = ["ann lee", "ann lee", "ann leigh", "ann lee jr", "bob ray", "bob ray", "annika", "ann lee"] + ["cid fox"] * 40
-    rows = spark.createDataFrame([(k, t, [f"n:{t[:3]}"] if k != 7 else []) for k, t in enumerate(texts)], "row long, text string, keys array<string>")
-    by_pairs = {tuple(r) for r in records.components(records.fuzzy_pairs(rows, 88, None)).collect()}
-    assert {tuple(r) for r in records.components(records.fuzzy_links(rows, 88)).collect()} == by_pairs and len(by_pairs) >= 44
-    limited = records.fuzzy_pairs(rows, 88, 10)
-    assert limited.where("a >= 8").count() == 0 and records.block_sizes(rows).where("members > 10").collect()[0].members == 40
