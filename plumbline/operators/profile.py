@@ -1,8 +1,10 @@
 """Profiles: one row of statistics for each column of a dataset.
 
-The dataset is unpivoted to (column, __row__, value); counts, lengths, type and
-meaning rates are one grouped aggregation with map-side combine, top values and
-masks two more.  Nothing depends on chunks: statistics cover all rows.
+The dataset is unpivoted to (column, __row__, value) and counted once by value:
+the histogram.  Counts, lengths, rates of types and meanings, numbers, top values and
+masks all follow from it, so that a pattern or a date is tried once a value and
+not once a cell, and histograms of parts of a dataset can be added up.  Nothing
+depends on chunks: statistics cover all rows.
 """
 
 from __future__ import annotations
@@ -29,63 +31,83 @@ def long_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(ROW, F.explode(cells).alias("c")).select("c.column", ROW, "c.raw", X.strip(F.col("c.raw")).alias("v"))
 
 
-def counts(cells: DataFrame) -> DataFrame:
-    """Per column counts, lengths, rates of types and meanings, and numeric statistics.
+def histogram(cells: DataFrame) -> DataFrame:
+    """(column, v, n, __row__): how often each value of a column occurs, and where first; null and blank are values here."""
+    return cells.groupBy("column", "v").agg(F.count("*").alias("n"), F.min(ROW).alias(ROW))
+
+
+def added(histograms: DataFrame) -> DataFrame:
+    """Histograms of parts of a dataset, one below the other, as that of the whole."""
+    return histograms.groupBy("column", "v").agg(F.sum("n").alias("n"), F.min(ROW).alias(ROW))
+
+
+def by_value(cells: DataFrame) -> DataFrame:
+    """Cells as a histogram, unless they are one."""
+    return cells if "n" in cells.columns else histogram(cells)
+
+
+FULL = "v is not null and v <> ''"
+
+
+def weight(cond=None):
+    """The sum of the counts of values (that meet a condition)."""
+    return F.coalesce(F.sum(F.col("n") if cond is None else F.when(cond, F.col("n"))), F.lit(0))
 
-    Three aggregations rather than one, so that the code generated for each
-    stays within what the JVM compiles.
-    """
+
+def counts(cells: DataFrame) -> DataFrame:
+    """Per column counts, lengths, least and greatest value."""
     v = F.col("v")
     full = v.isNotNull() & (v != "")
     populated = F.col("populated")
-    basic = cells.groupBy("column").agg(
-        F.count("*").alias("total"),
-        F.count_if(v.isNull()).alias("nulls"),
-        F.count_if(v == "").alias("blanks"),
-        F.count_if(full & X.is_placeholder(v)).alias("placeholders"),
-        F.count_if(full).alias("populated"),
-        F.count_distinct(F.when(full, v)).alias("distinct"),
+    basic = by_value(cells).groupBy("column").agg(
+        weight().alias("total"),
+        weight(v.isNull()).alias("nulls"),
+        weight(v == "").alias("blanks"),
+        weight(full & X.is_placeholder(v)).alias("placeholders"),
+        weight(full).alias("populated"),
+        F.count_if(full).alias("distinct"),
         F.coalesce(F.min(F.when(full, F.length(v))), F.lit(0)).alias("min_length"),
         F.coalesce(F.max(F.when(full, F.length(v))), F.lit(0)).alias("max_length"),
-        F.coalesce(F.avg(F.when(full, F.length(v))), F.lit(0.0)).alias("mean_length"),
+        F.coalesce(F.sum(F.when(full, F.length(v) * F.col("n"))) / F.sum(F.when(full, F.col("n"))), F.lit(0.0)).alias("mean_length"),
         F.min(F.when(full, v)).alias("min_value"),
         F.max(F.when(full, v)).alias("max_value"),
     )
-    basic = basic.withColumns({
+    return basic.withColumns({
         "fill_rate": F.when(F.col("total") > 0, populated / F.col("total")).otherwise(F.lit(0.0)),
         "distinct_ratio": F.when(populated > 0, F.least(F.col("distinct") / populated, F.lit(1.0))).otherwise(F.lit(0.0)),
     })
-    return basic.join(numbers(cells), "column", "left").join(rates(cells), "column", "left")
 
 
-def numbers(cells: DataFrame) -> DataFrame:
-    """(column, num_min, num_max, num_mean, num_median, mad, negatives, rate_decimal) over values that read as numbers."""
-    v = F.col("v")
+def number_of(v):
+    """A value as a number, without separators and currency signs; null where it is none."""
     clean = F.regexp_replace(F.regexp_replace(v, "[, ]", ""), r"^[$€£₹]+", "")
-    num = F.when(clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), clean.cast("double"))
-    part = written(cells.where("v is not null and v <> ''").select("column", num.alias("x")), "numbers")
-    found = part.groupBy("column").agg(
-        F.min("x").alias("num_min"), F.max("x").alias("num_max"), F.avg("x").alias("num_mean"),
-        F.count_if(F.col("x") < 0).alias("negatives"), F.avg(F.col("x").isNotNull().cast("double")).alias("rate_decimal"),
-    )
+    return F.when(clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), clean.cast("double"))
+
+
+def numbers(cells: DataFrame) -> DataFrame:
+    """(column, num_min, num_max, num_mean, num_median, mad, negatives) over values that read as numbers; other columns have no row."""
+    read = by_value(cells).where(FULL).select("column", number_of(F.col("v")).alias("x"), "n").where("x is not null")
+    part = written(read.groupBy("column", "x").agg(F.sum("n").alias("n")), "numbers")
+    found = part.groupBy("column").agg(F.min("x").alias("num_min"), F.max("x").alias("num_max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("num_mean"), weight(F.col("x") < 0).alias("negatives"))
     middle = written(quantiles(part, (0.5,)).withColumnRenamed("q0", "num_median"), "medians")
-    apart = part.join(F.broadcast(middle), "column").select("column", F.abs(F.col("x") - F.col("num_median")).alias("x"))
+    apart = part.join(F.broadcast(middle), "column").select("column", F.abs(F.col("x") - F.col("num_median")).alias("x"), "n")
     return found.join(middle, "column", "left").join(quantiles(apart, (0.5,)).withColumnRenamed("q0", "mad"), "column", "left")
 
 
 def rates(cells: DataFrame) -> DataFrame:
-    """(column, date_parse_rate, has_time, inferred_type and rates of types and meanings) over populated cells."""
+    """(column, date_parse_rate, has_time, rates of types and meanings) over populated cells."""
     v = F.col("v")
-    day = cells.where("v is not null and v <> ''").select("column", "v", X.date(v).isNotNull().alias("day"))
+    day = by_value(cells).where(FULL).select("column", "v", "n", X.date(v).isNotNull().alias("day"))
 
     def share(cond):
-        return F.avg(cond.cast("double"))
+        return weight(cond) / F.sum("n")
 
     enough = F.length(F.regexp_replace(v, r"\D", "")) >= 7
     types = day.groupBy("column").agg(
         share(F.lower(v).isin(*BOOLEANS)).alias("rate_boolean"),
         share(v.isin("0", "1")).alias("rate_bits"),
         share(v.rlike(r"^-?[\d,]+$") & clean_is_integer(v)).alias("rate_integer"),
+        share(number_of(v).isNotNull()).alias("rate_decimal"),
         share(F.col("day")).alias("date_parse_rate"),
         F.bool_or(v.rlike(r"\d{1,2}:\d{2}")).alias("has_time"),
     )
@@ -113,8 +135,7 @@ def clean_is_integer(v):
 
 def top(cells: DataFrame, key, n: int) -> DataFrame:
     """(column, key, n, first_row, rank) of the n most frequent keys; ties by first occurrence."""
-    full = cells.where("v is not null and v <> ''")
-    grouped = full.groupBy("column", key.alias("key")).agg(F.count("*").alias("n"), F.min(ROW).alias("first_row"))
+    grouped = by_value(cells).where(FULL).groupBy("column", key.alias("key")).agg(F.sum("n").alias("n"), F.min(ROW).alias("first_row"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), "first_row")
     return grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -122,7 +143,7 @@ def top(cells: DataFrame, key, n: int) -> DataFrame:
 def samples(cells: DataFrame, n: int = config.SAMPLE_VALUES) -> DataFrame:
     """The first n values of each column in row order."""
     order = Window.partitionBy("column").orderBy(ROW)
-    return cells.where("v is not null and v <> ''").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("column", "rank", "v")
+    return cells.where(FULL).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("column", "rank", "v", ROW)
 
 
 def enum_domains(top_values: DataFrame, statistics: DataFrame, coverage: float = config.ENUM_COVERAGE) -> DataFrame:
@@ -212,22 +233,30 @@ def profile(df: DataFrame, override: list[str] | None = None) -> list[dict[str,
     """The profile of a dataset with ``__row__``, in column order: a few dozen values for each column, on the driver."""
     names = [c for c in df.columns if c != ROW]
     cells = long_form(df, names)
-    statistics = {r["column"]: r.asDict() for r in counts(cells).collect()}
+    return profile_of(written(histogram(cells), "histogram"), names, samples(cells), override)
+
+
+def profile_of(cells: DataFrame, names: list[str], first_values: DataFrame, override: list[str] | None = None) -> list[dict[str, Any]]:
+    """The profile that a histogram and the first values (``samples``) give."""
+    statistics: dict[str, dict] = {n: {} for n in names}
+    for part in (counts(cells), numbers(cells), rates(cells)):
+        for r in part.collect():
+            statistics[r["column"]] |= r.asDict()
     values, masks, firsts = (defaults(names) for _ in range(3))
     for r in top(cells, F.col("v"), config.TOP_VALUES).orderBy("column", "rank").collect():
         values[r["column"]].append((r["key"], r["n"]))
     for r in top(cells, X.mask(F.col("v")), config.TOP_MASKS).orderBy("column", "rank").collect():
         masks[r["column"]].append((r["key"], r["n"]))
-    for r in samples(cells).orderBy("column", "rank").collect():
+    for r in first_values.orderBy("column", "rank").collect():
         firsts[r["column"]].append(r["v"])
     out, rows = [], 0
     for name in names:
-        c = {k: v for k, v in (statistics.get(name) or {}).items() if v is not None}
+        c = {k: v for k, v in statistics[name].items() if v is not None}
         c = empty(name) | c
         c["inferred_type"] = inferred_type(c)
         rows = max(rows, c["total"])
-        rates = {m: c.pop(f"rate_{m}", 0.0) for m, _ in config.SEMANTIC_VALUES}
-        c["semantic_type"], c["semantic_confidence"], c["name_value_conflict"] = meaning(name, rates, c["inferred_type"])
+        shares = {m: c.pop(f"rate_{m}", 0.0) for m, _ in config.SEMANTIC_VALUES}
+        c["semantic_type"], c["semantic_confidence"], c["name_value_conflict"] = meaning(name, shares, c["inferred_type"])
         c |= {"top_values": values[name], "pattern_masks": masks[name], "sample_values": firsts[name], "enum_domain": []}
         if 0 < c["distinct"] <= config.ENUM_MAX and c["semantic_type"] not in config.OPEN_ENDED:
             total, run = sum(n for _, n in values[name]), 0

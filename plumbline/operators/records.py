@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as X
 from ..plans.rules import Rule
-from ..shared import written
+from ..shared import small_side, written
 from . import fuzzy
 from .checks import Context
 
@@ -123,12 +123,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+# Fixed value: identity fields that the rule compares.
+IDENTITY_FIELDS = 6
 IDENTITY = ("person_name", "org_name", "email", "phone", "address")
 
 
-def fuzzy_keys(context: Context) -> DataFrame | None:
-    """(row, text, key) with one row for each blocking key of a record: mail name, last digits, head and skeleton of names."""
-    fields = [c for c in cdes(context) if c["semantic_type"] in IDENTITY][:6]
+def fuzzy_keys(context: Context, limit: int | None = IDENTITY_FIELDS) -> DataFrame | None:
+    """(row, text, keys) with the blocking keys of a record: mail name, last digits, head and skeleton of names; of the first ``limit`` identity fields."""
+    fields = [c for c in cdes(context) if c["semantic_type"] in IDENTITY][:limit]
     if not fields:
         return None
     keys = []
@@ -150,7 +152,7 @@ def fuzzy_keys(context: Context) -> DataFrame | None:
 
 @record_check("fuzzy_duplicate")
 def fuzzy_duplicate(rule: Rule, context: Context) -> Found | None:
-    if (rows := fuzzy_keys(context)) is None:
+    if (rows := fuzzy_keys(context, rule.params.get("max_fields", IDENTITY_FIELDS))) is None:
         return None
     rows = written(rows, "fuzzy")
     member = components(fuzzy.links(rows, rule.params.get("threshold", config.FUZZY_THRESHOLD), rule.params.get("max_block_size")))
@@ -165,11 +167,10 @@ def determinants(profile: list[dict]) -> list[dict]:
     return [c for c in profile if c["is_cde"] and c["populated"] and 2 <= c["distinct"] <= config.FD_MAX_KEYS and c["distinct_ratio"] <= config.FD_MAX_RATIO]
 
 
-def fd_pairs(profile: list[dict]) -> list[tuple[str, str]]:
-    """Pairs (determinant, dependent) worth looking at, in column order, at most FD_MAX_PAIRS."""
+def fd_pairs(profile: list[dict], limit: int | None = None) -> list[tuple[str, str]]:
+    """Pairs (determinant, dependent) worth looking at, in column order: all, or the first ``limit`` (FD_MAX_PAIRS as the rule once had it)."""
     dependents = [c for c in profile if c["is_cde"] and c["populated"]]
-    pairs = [(a["column"], b["column"]) for a in determinants(profile) for b in dependents if a is not b and b["distinct"] <= a["distinct"]]
-    return pairs[: config.FD_MAX_PAIRS]
+    return [(a["column"], b["column"]) for a in determinants(profile) for b in dependents if a is not b and b["distinct"] <= a["distinct"]][:limit]
 
 
 def fd_conflicts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -179,8 +180,8 @@ def fd_conflicts(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     at = {n: k for k, n in enumerate(names)}
     made = F.array(*[F.struct(F.lit(a).alias("det"), F.lit(b).alias("dep"), F.lower(F.col(f"v{at[a]}")).alias("key"), F.col(f"v{at[b]}").alias("value"), (F.col(f"p{at[a]}") & F.col(f"p{at[b]}")).alias("ok")) for a, b in pairs])
     rows = once.select("row", F.explode(made).alias("p")).where("p.ok").select("p.det", "p.dep", "row", "p.key", "p.value")
-    firsts = rows.groupBy("det", "dep", "key").agg(F.min_by("value", "row").alias("expected"))
-    return rows.join(firsts, ["det", "dep", "key"]).withColumn("conflict", F.lower("value") != F.lower("expected"))
+    firsts = written(rows.groupBy("det", "dep", "key").agg(F.min_by("value", "row").alias("expected")), "firsts")
+    return rows.join(small_side(firsts, 120), ["det", "dep", "key"]).withColumn("conflict", F.lower("value") != F.lower("expected"))
 
 
 def fd_choose(stats: list[dict]) -> list[dict]:
@@ -195,7 +196,7 @@ def fd_choose(stats: list[dict]) -> list[dict]:
 
 @record_check("cardinality_holds")
 def cardinality_holds(rule: Rule, context: Context) -> Found | None:
-    if not (pairs := fd_pairs(context.profile)):
+    if not (pairs := fd_pairs(context.profile, rule.params.get("max_pairs"))):
         return None
     rows = fd_conflicts(context.df, pairs)
     stats = {(r.det, r.dep): r.asDict() for r in rows.groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts"), F.count_distinct("key").alias("groups")).collect()}
@@ -213,7 +214,7 @@ def cardinality_holds(rule: Rule, context: Context) -> Found | None:
 def dependent_field_populated(rule: Rule, context: Context) -> Found | None:
     support = rule.params.get("support", config.DEPENDENT_SUPPORT)
     fit = [c for c in context.profile if c["is_cde"] and c["populated"]]
-    pairs = [(a["column"], b["column"]) for a in fit for b in fit if a is not b and b["fill_rate"] < 1][: config.FD_MAX_PAIRS]
+    pairs = [(a["column"], b["column"]) for a in fit for b in fit if a is not b and b["fill_rate"] < 1][: rule.params.get("max_pairs")]
     if not pairs:
         return None
     names = list(dict.fromkeys(n for p in pairs for n in p))

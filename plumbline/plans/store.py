@@ -4,30 +4,48 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..shared import commit, committed, deleted
 from .assess import Assessment, report_context
 
 TEXT_FIELDS = ("column", "inferred_type", "semantic_type")
 
 
 def save(a: Assessment, path: str) -> None:
-    """Write an assessment below ``path``, in place of one there: examples partitioned by validity, dimension and rule."""
-    spark = a.spark
-    spark.createDataFrame([(c["column"], k, json.dumps(c)) for k, c in enumerate(a.profile)], "column string, position int, profile string").coalesce(1).write.mode("overwrite").parquet(f"{path}/profile")
-    a.results_frame().coalesce(1).write.mode("overwrite").parquet(f"{path}/results")
+    """Write an assessment below ``path``, in place of one there: examples partitioned by validity, dimension and rule.
+
+    All of it goes to a folder of its own, which the manifest names once it is
+    complete: whoever reads meanwhile, or after a failure, finds the assessment that was there before.
+    """
+    spark, version = a.spark, f"v-{uuid.uuid4().hex}"
+    new = f"{path}/{version}"
+    spark.createDataFrame([(c["column"], k, json.dumps(c)) for k, c in enumerate(a.profile)], "column string, position int, profile string").coalesce(1).write.parquet(f"{new}/profile")
+    a.results_frame().coalesce(1).write.parquet(f"{new}/results")
     meta = {"rows": a.rows, "scores": a.scores, "overall": a.overall, "bands": a.bands, "not_assessed": a.not_assessed, "errors": a.errors}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    a.examples.write.mode("overwrite").partitionBy("validity", "dimension", "rule_id").parquet(f"{path}/examples")
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{new}/meta")
+    a.examples.write.partitionBy("validity", "dimension", "rule_id").parquet(f"{new}/examples")
+    before = committed(spark, path)
+    commit(spark, path, {"version": version})
+    if before:
+        deleted(spark, f"{path}/{before['version']}")
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the assessment that is complete below ``path``."""
+    if (state := committed(spark, path)) is None:
+        raise ValueError(f"no assessment is stored in {path}")
+    return f"{path}/{state['version']}"
 
 
 def load_profile(spark: SparkSession, path: str) -> list[dict[str, Any]]:
     """A stored profile, to resume an assessment from."""
-    rows = spark.read.parquet(f"{path}/profile").orderBy("position").collect()
+    rows = spark.read.parquet(f"{current(spark, path)}/profile").orderBy("position").collect()
     out = [json.loads(r.profile) for r in rows]
     for c in out:
         for k in ("top_values", "pattern_masks"):
@@ -36,16 +54,16 @@ def load_profile(spark: SparkSession, path: str) -> list[dict[str, Any]]:
 
 
 def load_meta(spark: SparkSession, path: str) -> dict[str, Any]:
-    return json.loads(spark.read.parquet(f"{path}/meta").first().meta)
+    return json.loads(spark.read.parquet(f"{current(spark, path)}/meta").first().meta)
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/results")
+    return spark.read.parquet(f"{current(spark, path)}/results")
 
 
 def load_examples(spark: SparkSession, path: str, dimension: str, rule_id: str, validity: str = "violation", limit: int = config.EXAMPLE_CAP) -> DataFrame:
     """K3: a rule's examples in row order; partition pruning reads that rule alone."""
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(f"{path}/examples")
+    rows = spark.read.option("recursiveFileLookup", "false").parquet(f"{current(spark, path)}/examples")
     return rows.where((F.col("validity") == validity) & (F.col("dimension") == dimension) & (F.col("rule_id") == rule_id)).orderBy("row").limit(limit)
 
 
@@ -56,9 +74,7 @@ def save_data(df: DataFrame, path: str) -> None:
 
 def purge(spark: SparkSession, path: str) -> bool:
     """K7: delete an assessment's artifacts, in whatever store they are."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return deleted(spark, path)
 
 
 def render(a: Assessment, title: str = "Data quality") -> str:

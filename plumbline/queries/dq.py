@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config, refdata
 from ..functions import text as X
-from ..operators import checks, fuzzy, records
+from ..operators import checks, dependencies, fuzzy, records
 from ..operators import profile as profiles
 from ..plans import assess, registry, score, serve
 from ..plans.rules import EMAIL, Rule, bind, default_pack
@@ -174,7 +174,7 @@ add("profile_minmax", lambda s, d: profiles.counts(d_cells(s, d)).select("column
 TOP_SQL = "select col as \"column\", key, n, first_row, rank from (select *, row_number() over (partition by col order by n desc, first_row) rank from (select col, {key} as key, count(*) n, min(r) first_row from cells where v <> '' group by 1, 2)) where rank <= {k}"
 add("profile_topk", lambda s, d: profiles.top(d_cells(s, d), F.col("v"), 25).withColumn("rank", F.col("rank").cast("long")), f"{WITH_D}, {D_CELLS} {TOP_SQL.format(key='v', k=25)}")
 add("profile_masks", lambda s, d: profiles.top(d_cells(s, d), X.mask(F.col("v")), 50).withColumn("rank", F.col("rank").cast("long")), f"{WITH_D}, {D_CELLS} {TOP_SQL.format(key=MASK.format('v'), k=50)}")
-add("profile_samples", lambda s, d: profiles.samples(d_cells(s, d)).withColumn("rank", F.col("rank").cast("long")), f"{WITH_D}, {D_CELLS} select col as \"column\", rank, v from (select *, row_number() over (partition by col order by r) rank from cells where v <> '') where rank <= 3")
+add("profile_samples", lambda s, d: profiles.samples(d_cells(s, d)).select("column", F.col("rank").cast("long").alias("rank"), "v"), f"{WITH_D}, {D_CELLS} select col as \"column\", rank, v from (select *, row_number() over (partition by col order by r) rank from cells where v <> '') where rank <= 3")
 add("profile_numeric", lambda s, d: profiles.numbers(cells_of("orders", "o_orderkey", ("o_totalprice",))(s, d)).select("column", *[F.round(c, 4).alias(c) for c in ("num_min", "num_max", "num_mean", "num_median", "mad")], "negatives"), "with x as (select o_totalprice v from orders), m as (select median(v) m from x) select 'o_totalprice' as \"column\", round(min(v), 4) num_min, round(max(v), 4) num_max, round(avg(v), 4) num_mean, round(median(v), 4) num_median, round(median(abs(v - m)), 4) mad, count(*) filter (v < 0) negatives from x, m")
 add("date_parse_rate", lambda s, d: profiles.rates(profiles.long_form(defects(s, d), ["signup_date", "last_activity_date"])).select("column", F.round("date_parse_rate", 6).alias("date_parse_rate"), "has_time"), f"{WITH_D}, cells as (select 'signup_date' col, signup_date v from d union all select 'last_activity_date', last_activity_date from d) select col as \"column\", round(avg(case when {day_of('v')} is null then 0.0 else 1.0 end), 6) date_parse_rate, bool_or(regexp_matches(v, '\\d{{1,2}}:\\d{{2}}')) has_time from cells where trim(v) <> '' group by col")
 add("semantic_values", lambda s, d: profiles.rates(d_cells(s, d)).select("column", *[F.round(f"rate_{m}", 6).alias(f"rate_{m}") for m in ("email", "currency_code", "amount", "identifier", "person_name")]), f"{WITH_D}, {D_CELLS} select col as \"column\", " + ", ".join("round(avg(case when regexp_matches(v, '{}') then 1.0 else 0.0 end), 6) rate_{}".format(dict(config.SEMANTIC_VALUES)[m].replace("'", "''"), m) for m in ("email", "currency_code", "amount", "identifier", "person_name")) + " from cells where v <> '' group by col")
@@ -246,6 +246,20 @@ add("dup_fuzzy_clusters", lambda s, d: records.components(fuzzy.pairs(fuzzy_rows
 add("fd_pairs", lambda s, d: records.fd_conflicts(defects(s, d), [("product_code", "product_name"), ("zip_code", "state"), ("city", "state")]).groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts"), F.count_distinct("key").alias("groups")), f"{WITH_D}, p as (select 'product_code' det, 'product_name' dep, lower(trim(product_code)) k, trim(product_name) v, __row__ r from d union all select 'zip_code', 'state', lower(trim(zip_code)), trim(state), __row__ from d union all select 'city', 'state', lower(trim(city)), trim(state), __row__ from d), q as (select *, first_value(v) over (partition by det, dep, k order by r) e from p) select det, dep, count(*) evaluated, count(*) filter (lower(v) <> lower(e)) conflicts, count(distinct k) as groups from q group by 1, 2")
 add("fd_cardinality", lambda s, d: counts_frame(s, records.cardinality_holds(record_rule("cardinality_holds"), context_of(defects(s, d), ["city", "state"]))), f"{WITH_D}, q as (select lower(trim(state)) v, lower(first_value(trim(state)) over (partition by lower(trim(city)) order by __row__)) e, lower(trim(city)) v2, lower(first_value(trim(city)) over (partition by lower(trim(state)) order by __row__)) e2 from d) select 2 * count(*) evaluated, count(*) filter (v <> e) + count(*) filter (v2 <> e2) failed from q")
 add("fd_nation_region", lambda s, d: records.fd_conflicts(table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.expr("c_nationkey = n_nationkey")).select(F.col("c_custkey").cast("long").alias(ROW), "n_name", F.col("n_regionkey").cast("string").alias("region")), [("n_name", "region"), ("region", "n_name")]).groupBy("det", "dep").agg(F.count("*").alias("evaluated"), F.count_if("conflict").alias("conflicts")), "with c as (select * from customer join nation on c_nationkey = n_nationkey), p as (select 'n_name' det, 'region' dep, lower(n_name) k, cast(n_regionkey as varchar) v, c_custkey r from c union all select 'region', 'n_name', cast(n_regionkey as varchar), n_name, c_custkey from c), q as (select *, first_value(v) over (partition by det, dep, k order by r) e from p) select det, dep, count(*) evaluated, count(*) filter (lower(v) <> lower(e)) conflicts from q group by 1, 2")
+FD_COLUMNS = ["city", "state", "zip_code", "country", "account_status", "product_code", "product_name"]
+
+
+def lattice_sql(source: str, columns: list[str]) -> str:
+    """All dependencies up to two determinants by one grouping for each, then the minimal ones."""
+    v = {c: f"case when {P(c)} then lower(trim({c})) end" for c in columns}
+    sets = [(c,) for c in columns] + [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = "select '{n}' d, '{x}' p, '{a}' q, '{dep}' dep, coalesce(sum(n), 0) n, count(*) g, coalesce(sum(n - most), 0) bad from (select k, sum(c) n, max(c) most from (select {k} k, {v} v, count(*) c from {s} where ({k}) is not null and ({v}) is not null group by 1, 2) group by 1)"
+    parts = [one.format(n=", ".join(s), x=s[0], a=s[-1], dep=dep, k=v[s[0]] if len(s) == 1 else f"({v[s[0]]}) || chr(31) || ({v[s[1]]})", v=v[dep], s=source) for s in sets for dep in columns if dep not in s]
+    fits = "g >= 5 and g <= 0.6 * n and bad <= 0.05 * n + 1e-9"
+    return f"m as ({' union all '.join(parts)}), c as (select unnest([{', '.join(repr(c) for c in columns)}]) c), u as (select c from c where (select count(distinct v) from (select unnest([{', '.join(v.values())}]) v, unnest([{', '.join(repr(c) for c in columns)}]) w from {source}) where w = c) > 1) select d determinants, dep dependent, cast(n as bigint) evaluated, g as groups, cast(bad as bigint) violations from m where {fits} and dep in (select c from u) and (p = q or not exists (select 1 from m o where o.p = o.q and o.dep = m.dep and o.p in (m.p, m.q) and o.g >= 5 and o.g <= 0.6 * o.n and o.bad <= 0.05 * o.n + 1e-9))"
+
+
+add("fd_lattice", lambda s, d: dependencies.frame(defects(s, d), dependencies.search(defects(s, d), FD_COLUMNS)), f"{WITH_D}, {lattice_sql('d', FD_COLUMNS)}")
 add("dep_populated", lambda s, d: counts_frame(s, records.dependent_field_populated(record_rule("dependent_field_populated", support=0.85), context_of(defects(s, d), ["phone", "email"]))), f"{WITH_D} select count(*) filter ({P('phone')}) evaluated, count(*) filter ({P('phone')} and not {P('email')}) failed from d having count(*) filter ({P('phone')} and {P('email')}) / count(*) filter ({P('phone')}) >= 0.85 union all select 0, 0 from (select count(*) filter ({P('phone')} and {P('email')}) / count(*) filter ({P('phone')}) s from d) where s < 0.85")
 add("fk_orphans", lambda s, d: records.orphans(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), table(s, d, "orders"), "l_orderkey", "o_orderkey").agg(F.count("*").alias("orphans")), "select count(*) orphans from lineitem where l_orderkey not in (select o_orderkey from orders)")
 add("childless_parents", lambda s, d: records.orphans(table(s, d, "customer").select("c_custkey"), table(s, d, "orders"), "c_custkey", "o_custkey").select("c_custkey"), "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
