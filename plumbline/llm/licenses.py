@@ -24,10 +24,10 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 #: label: (keywords, one of which any match holds, pattern of the licence's name, SPDX identifier, part of its address); hand-written, in order of precedence.
 LICENSES: dict[str, tuple[str, str, str, str]] = {
-    "agpl": ("affero|agpl", r"(?:gnu )?affero general public licen[sc]e|agpl ?v?3", r"agpl-[\d.]+", r"gnu\.org/licenses/agpl"),
-    "lgpl": ("lesser general|library general|lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl ?v?[23]", r"lgpl-[\d.]+", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
+    "agpl": ("affero|agpl", r"(?:gnu )?affero general public licen[sc]e|agpl[ -]?(?:v\.? ?|version )?[13](?:\.\d)?\+?", r"agpl-[\d.]+", r"gnu\.org/licenses/agpl"),
+    "lgpl": ("lesser general|library general|lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl[ -]?(?:v\.? ?|version )?[23](?:\.\d)?\+?", r"lgpl-[\d.]+", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     "gfdl": ("free documentation|gfdl", r"(?:gnu )?free documentation licen[sc]e|gfdl", r"gfdl-[\d.]+", r"gnu\.org/licenses/fdl"),
-    "gpl": ("general public|gnu gpl", r"(?:gnu )?general public licen[sc]e|gnu gpl(?: ?v?[23])?", r"gpl-[\d.]+", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
+    "gpl": ("general public|gpl", r"(?:gnu )?general public licen[sc]e|gnu gpl(?:[ -]?v?[23](?:\.\d)?\+?)?|gpl[ -]?(?:v\.? ?|version )?[123](?:\.\d)?\+?", r"gpl-[\d.]+", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
     "cc-by-nc-nd": ("nc-nd|nc nd|commercial", r"(?:cc[ -])?by[ -]nc[ -]nd|creative commons attribution[ -]non-?commercial[ -]no-?derivatives?", r"cc-by-nc-nd-[\d.]+", r"creativecommons\.org/licenses/by-nc-nd"),
     "cc-by-nc-sa": ("nc-sa|nc sa|commercial", r"(?:cc[ -])?by[ -]nc[ -]sa|creative commons attribution[ -]non-?commercial[ -]share-?alike", r"cc-by-nc-sa-[\d.]+", r"creativecommons\.org/licenses/by-nc-sa"),
     "cc-by-nc": ("by-nc|by nc|commercial", r"cc[ -]by[ -]nc|creative commons attribution[ -]non-?commercial", r"cc-by-nc-[\d.]+", r"creativecommons\.org/licenses/by-nc"),
@@ -36,7 +36,7 @@ LICENSES: dict[str, tuple[str, str, str, str]] = {
     "cc-by": ("attribution", r"creative commons attribution", r"cc-by-[\d.]+", r"creativecommons\.org/licenses/by/"),
     "cc0": ("cc0", r"cc0(?: 1\.0)?(?: universal)?", r"cc0-[\d.]+", r"creativecommons\.org/publicdomain/zero"),
     "public-domain": ("public domain", r"(?:released (?:in)?to|placed in|dedicated to) the public domain|public domain dedication", r"pddl-[\d.]+", r"creativecommons\.org/publicdomain/mark"),
-    "apache": ("apache", r"apache (?:software )?licen[sc]e,? ?(?:version|v\.?)? ?[\d.]*\d", r"apache-[\d.]+", r"apache\.org/licenses"),
+    "apache": ("apache", r"apache (?:software )?licen[sc]e,? ?(?:version|v\.?)? ?[\d.]*\d|apache[ -]?(?:v\.? ?|version )?[12]\.[01](?: licen[sc]e)?|apache 2 licen[sc]e|asl ?2\.0", r"apache-[\d.]+", r"apache\.org/licenses"),
     "bsd-2-clause": ("bsd", r"(?:simplified|freebsd|(?:two|2)[ -]clause) bsd(?: licen[sc]e)?|bsd[ -](?:two|2)[ -]clause", r"bsd-2-clause", r"opensource\.org/licenses/bsd-2-clause"),
     "bsd-3-clause": ("bsd", r"(?:new|modified|revised|(?:three|3)[ -]clause) bsd(?: licen[sc]e)?|bsd[ -](?:three|3)[ -]clause", r"bsd-3-clause", r"opensource\.org/licenses/bsd-3-clause"),
     "bsd-4-clause": ("bsd", r"(?:original|(?:four|4)[ -]clause) bsd(?: licen[sc]e)?|bsd[ -](?:four|4)[ -]clause", r"bsd-4-clause", r"spdx\.org/licenses/bsd-4-clause"),
@@ -49,7 +49,7 @@ LICENSES: dict[str, tuple[str, str, str, str]] = {
     "edl": ("eclipse", r"eclipse distribution licen[sc]e", r"edl-[\d.]+", r"eclipse\.org/org/documents/edl"),
     "cddl": ("common development", r"common development and distribution licen[sc]e", r"cddl-[\d.]+", r"opensource\.org/licenses/cddl"),
     "cpl": ("common public", r"common public licen[sc]e", r"cpl-[\d.]+", r"opensource\.org/licenses/cpl"),
-    "eupl": ("european union", r"european union public licen[sc]e", r"eupl-[\d.]+", r"joinup\.ec\.europa\.eu/.*eupl"),
+    "eupl": ("european union", r"european union public licen[sc]e", r"eupl-[\d.]+", r"joinup\.ec\.europa\.eu/\S*eupl"),
     "artistic": ("artistic", r"(?:perl )?artistic licen[sc]e", r"artistic-[\d.]+", r"opensource\.org/licenses/artistic"),
     "boost": ("boost", r"boost software licen[sc]e", r"bsl-1\.0", r"boost\.org/license"),
     "zlib": ("zlib", r"zlib(?:/libpng)? licen[sc]e", r"zlib", r"zlib\.net/zlib_license"),
@@ -68,7 +68,7 @@ LICENSES: dict[str, tuple[str, str, str, str]] = {
     "apsl": ("apple public", r"apple public source licen[sc]e", r"apsl-[\d.]+", r"opensource\.apple\.com/license/apsl"),
     "qpl": ("q public", r"q public licen[sc]e", r"qpl-[\d.]+", r"opensource\.org/licenses/qpl"),
     "sleepycat": ("sleepycat", r"sleepycat licen[sc]e", r"sleepycat", r"opensource\.org/licenses/sleepycat"),
-    "w3c": ("w3c", r"w3c(?: software)?(?: notice and)? licen[sc]e", r"w3c", r"w3\.org/consortium/legal/.*software"),
+    "w3c": ("w3c", r"w3c(?: software)?(?: notice and)? licen[sc]e", r"w3c", r"w3\.org/consortium/legal/\S*software"),
     "vim": ("vim", r"vim licen[sc]e", r"vim", r"vimhelp\.org/uganda"),
     "ofl": ("open font", r"(?:sil )?open font licen[sc]e", r"ofl-[\d.]+", r"scripts\.sil\.org/ofl"),
     "odbl": ("open database", r"open (?:data commons )?(?:open )?database licen[sc]e", r"odbl-[\d.]+", r"opendatacommons\.org/licenses/odbl"),
@@ -90,41 +90,116 @@ LICENSES: dict[str, tuple[str, str, str, str]] = {
     "all-rights-reserved": ("all rights reserved", r"all rights reserved", r"licenseref-proprietary", r"example\.invalid/all-rights-reserved"),
 }
 
-#: label: (keyword, pattern) of sentences that stand in the licences' own texts.
-TEXTS: dict[str, tuple[str, str]] = {
-    "mit": ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    "isc": ("permission to use, copy, modify", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
-    "bsd": ("redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
-    "bsd-3-clause": ("neither the name", r"neither the names? of .{1,200}? may be used to endorse or promote products derived from this software"),
-    "bsd-4-clause": ("advertising materials", r"all advertising materials mentioning features or use of this software must display"),
-    "apache": ("apache license", r"you may not use this file except in compliance with the license|unless required by applicable law or agreed to in writing, software distributed under the license"),
-    "gpl": ("gnu general public", r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
-    "lgpl": ("general public", r"this library is free software[:;] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
-    "agpl": ("affero", r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e"),
-    "mpl": ("mozilla", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
-    "epl": ("eclipse", r"the accompanying (?:program|materials) (?:is|are) (?:provided|made available) under the terms of this eclipse public licen[sc]e"),
-    "zlib": ("as-is", r"this software is provided 'as-is', without any express or implied warranty"),
-    "boost": ("boost", r"boost software licen[sc]e - version 1\.0"),
-    "unlicense": ("unencumbered", r"this is free and unencumbered software released into the public domain"),
-    "cc0": ("associated a work", r"the person who associated a work with this deed has dedicated the work to the public domain"),
-    "wtfpl": ("verbatim or modified", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document"),
-    "artistic": ("artistic", r"the intent of this document is to state the conditions under which a package may be copied"),
-    "ofl": ("open font", r"this font software is licensed under the sil open font licen[sc]e"),
-    "ncsa": ("deal with the software", r"to deal with the software without restriction"),
-    "postgresql": ("without a written agreement", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
-    "as-is": ("without warranty", r'the software is provided "as is", without warranty of any kind'),
+#: label: (keywords, patterns) of sentences that stand in the licences' own texts and notices.
+TEXTS: dict[str, list[tuple[str, str]]] = {
+    "mit": [
+        ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+        ("permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ],
+    "isc": [("permission to use, copy, modify", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted")],
+    "bsd": [
+        ("redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+        ("source code must retain", r"redistributions of source code must retain"),
+        ("in binary form must", r"redistributions in binary form must reproduce"),
+        ("bsd", r"use of this source code is governed by a bsd-style licen[sc]e"),
+    ],
+    "bsd-3-clause": [("neither the name", r"neither the names? of .{1,200}? may be used to endorse or promote products derived from this software")],
+    "bsd-4-clause": [("advertising materials", r"all advertising materials mentioning features or use of this software must display")],
+    "apache": [
+        ("except in compliance", r"you may not use this file except in compliance with the licen[sc]e"),
+        ("required by applicable law", r"unless required by applicable law or agreed to in writing, software distributed under the licen[sc]e"),
+        ("apache software foundation", r"licensed to the apache software foundation \(asf\)"),
+        ("contributor license", r"this software consists of voluntary contributions made by many individuals on behalf of the apache"),
+    ],
+    "gpl": [
+        ("gnu general public", r"(?:this program|it|this file|[\w.-]+) is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
+        ("gnu general public", r"you should have received a copy of the gnu general public licen[sc]e"),
+        ("gpl", r"(?:licen[sc]ed|released|distributed|available|covered|published) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl(?![\w-])"),
+        ("gpl", r"export_symbol_gpl|module_license\( ?[\"']gpl"),
+    ],
+    "lgpl": [
+        ("general public", r"this library is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+        ("general public", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e"),
+        ("lgpl", r"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl(?![\w-])"),
+    ],
+    "agpl": [
+        ("affero", r"this program is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e"),
+        ("affero", r"you should have received a copy of the gnu affero general public licen[sc]e"),
+        ("agpl", r"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?agpl(?![\w-])"),
+    ],
+    "gfdl": [("free documentation", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation")],
+    "mpl": [
+        ("mozilla", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+        ("mpl", r"if a copy of the mpl was not distributed with this file"),
+        ("mozilla", r"the contents of this file are subject to the mozilla public licen[sc]e"),
+        ("incompatible with secondary", r'this source code form is "incompatible with secondary licen[sc]es"'),
+    ],
+    "epl": [("eclipse", r"(?:the|this program and the) accompanying (?:program|materials) (?:is|are) (?:provided|made available) under the terms of (?:this|the) eclipse public licen[sc]e")],
+    "cddl": [("common development", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e")],
+    "zlib": [
+        ("as-is", r"this software is provided 'as-is', without any express or implied warranty"),
+        ("altered source versions", r"altered source versions must be plainly marked as such"),
+        ("origin of this software", r"the origin of this software must not be misrepresented"),
+    ],
+    "boost": [("boost", r"boost software licen[sc]e - version 1\.0"), ("or organization obtaining", r"to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e")],
+    "unlicense": [
+        ("unencumbered", r"this is free and unencumbered software released into the public domain"),
+        ("anyone is free to copy", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ],
+    "cc0": [("associated a work", r"the person who associated a work with this deed has dedicated the work to the public domain"), ("affirmer", r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives")],
+    "public-domain": [("public domain", r"(?:this (?:file|code|software|work|program)|the author) (?:is|has been|was|hereby) (?:in|put into|placed in|placed into|released into|released to|disclaims copyright to this source code\W+) the public domain"), ("disclaims copyright", r"the author disclaims copyright to this source code")],
+    "wtfpl": [("verbatim or modified", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document"), ("you just do what", r"you just do what the f\S+ you want to")],
+    "artistic": [("may be copied", r"the intent of this document is to state the conditions under which a package may be copied"), ("same terms as perl", r"(?:redistribute it and/or modify it |licensed )under the same terms as perl(?: itself)?")],
+    "ofl": [("open font", r"this font software is licensed under the sil open font licen[sc]e"), ("reserved font name", r"with reserved font names?")],
+    "ncsa": [("deal with the software", r"to deal with the software without restriction")],
+    "postgresql": [("without a written agreement", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted")],
+    "beerware": [("buy me a beer", r"you can buy me a beer in return")],
+    "sspl": [("functionality of the program", r"if you make the functionality of the program or a modified version available to third parties as a service")],
+    "busl": [("additional use grant", r"additional use grant"), ("change licen", r"change date\W+\S.{0,80}?change licen[sc]e")],
+    "elastic": [("hosted or managed", r"you may not provide the software to third parties as a hosted or managed service")],
+    "openrail": [("use-based restrictions", r"use-based restrictions as referenced in")],
+    "cc-by": [("creative commons attribution", r"this work is licensed under (?:a|the) creative commons attribution(?: [\d.]+)?(?: international| unported| generic)? licen[sc]e")],
+    "cc-by-sa": [("sharealike|share-alike|share alike", r"this work is licensed under (?:a|the) creative commons attribution[ -]share-?\s?alike")],
+    "odbl": [("open database", r"this .{1,80}? is made available under the open database licen[sc]e")],
+    "all-rights-reserved": [("confidential", r"(?:proprietary and confidential|confidential and proprietary)"), ("unauthorized copying", r"unauthori[sz]ed copying of this file, via any medium,? is strictly prohibited")],
+    "as-is": [("without warranty", r'the (?:software|program|work|material) is provided "as is",? without warranty of any kind')],
 }
+#: label: (keywords, pattern) of exceptions to a licence, by name or identifier.
+EXCEPTIONS: dict[str, tuple[str, str]] = {
+    "classpath-exception": ("classpath", r"classpath[ -]exception(?:-2\.0)?|as a special exception, the copyright holders of this library give you permission to link"),
+    "gcc-exception": ("runtime library exception|gcc-exception", r"gcc runtime library exception|gcc-exception-[\d.]+"),
+    "llvm-exception": ("llvm", r"llvm[ -]exceptions?|apache-2\.0 with llvm"),
+    "autoconf-exception": ("autoconf", r"autoconf[ -](?:configure script )?exception(?:-[\d.]+)?"),
+    "bison-exception": ("bison", r"bison[ -]exception(?:-[\d.]+)?"),
+    "font-exception": ("font", r"(?:gpl )?font[ -]exception(?:-[\d.]+)?"),
+    "linux-syscall-note": ("linux-syscall-note|user programs that use kernel", r"linux-syscall-note|does \*?not\*? cover user programs that use kernel services"),
+    "openssl-exception": ("openssl", r"permission to link (?:the code|this program|this software) with the openssl"),
+    "commons-clause": ("commons clause", r"commons clause(?: licen[sc]e condition)?"),
+}
+#: (keywords, pattern) of what is no grant of a licence, although it holds a licence's name.
+GUARDS: tuple[tuple[str, str], ...] = (
+    ("not licen|not released|not distributed|n't licen|never licen", r"(?:not|n't|never) (?:licen[sc]ed|released|distributed|available) under (?:the |an? )?(?:terms of )?(?:the )?[\w.+-]+(?: [\w.+-]+){0,5} ?licen[sc]e"),
+    ("incompatible|compatible", r"(?:in)?compatible with (?:the )?[\w.+-]+(?: [\w.+-]+){0,4} ?licen[sc]e"),
+    ("plate", r"(?:[\w-]+ )?licen[sc]e plates?"),
+    ("driver|driving", r"(?:driver'?s?|driving) licen[sc]e"),
+    ("instead of", r"instead of (?:the )?[\w.+-]+(?: [\w.+-]+){0,4} ?licen[sc]e"),
+)
+GUARD_PRIORITY, EXCEPTION_PRIORITY = 50, 15
 #: Priority and confidence of such a sentence.
 TEXT_PRIORITY, TEXT_CONFIDENCE = 35, 0.95
 
 #: kind: (priority, confidence, keyword or the licence's own, pattern around the licence's parts).
 KINDS = {
-    "spdx": (40, 1.0, "spdx", r"spdx-license-identifier:\s*{spdx}(?![\w.-])"),
+    "spdx": (40, 1.0, "licen", r"{spdx}(?:-only|-or-later|\+)?"),
     "grant": (30, 0.95, None, r"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{name})"),
     "address": (20, 0.9, None, r"https?://(?:www\.)?{site}\S*"),
+    "id": (12, 0.85, None, r"(?<![\w./-])(?:{spdx})(?:-only|-or-later|\+)?(?![\w-]|\.\w)"),
     "name": (10, 0.8, None, r"(?<![\w-])(?:{name})(?![\w-])"),
 }
 BASE_CONFIDENCE = 0.7
+#: A declared licence: the tag of a source file, or a field of a package's description, and an expression of identifiers.
+DECLARED = re.compile(r"""(?:spdx-license-identifier|licen[sc]es?)["']?\s*[:=]\s*["']?((?:\(\s*)*[a-z0-9][\w.+-]*(?:(?:\s*\))*\s+(?:and|or|with)\s+(?:\(\s*)*[a-z0-9][\w.+-]*)*)""")
+IDENTIFIER = re.compile(r"[a-z0-9][\w.+-]*")
 #: Line breaks with the comment marks that start the next line, and wide spaces, count as one space.
 SPACING = re.compile(r"[ \t]*\n[ \t]*(?:(?://+|[#*;]+)[ \t]*)?|[ \t]{2,}|\t")
 
@@ -142,14 +217,37 @@ class Rule:
 def rules() -> tuple[Rule, ...]:
     """All signature rules in order of precedence."""
     out = []
-    for priority, confidence, gate, form in KINDS.values():
+    for kind, (priority, confidence, gate, form) in KINDS.items():
         for label, (keyword, name, spdx, site) in LICENSES.items():
             key = site.replace("\\", "").split("/")[0] if "{site}" in form else gate or keyword
+            if kind == "id":
+                if not re.search(r"[\d-]", spdx.replace(r"\d", "")) and r"\d" not in spdx:
+                    continue  # a plain word means a licence only where one is declared
+                key = re.match(r"\(?(?:\?:)?([a-z0-9]+)", spdx)[1]
             out.append(Rule(label, tuple(key.split("|")), priority, confidence, re.compile(form.format(name=name, spdx=spdx, site=site))))
-    out += [Rule(label, (keyword,), TEXT_PRIORITY, TEXT_CONFIDENCE, re.compile(pattern)) for label, (keyword, pattern) in TEXTS.items()]
+    out += [Rule(label, tuple(keyword.split("|")), TEXT_PRIORITY, TEXT_CONFIDENCE, re.compile(pattern)) for label, texts in TEXTS.items() for keyword, pattern in texts]
+    out += [Rule(label, tuple(keyword.split("|")), EXCEPTION_PRIORITY, 0.9, re.compile(pattern)) for label, (keyword, pattern) in EXCEPTIONS.items()]
+    out += [Rule("", tuple(keyword.split("|")), GUARD_PRIORITY, 0.0, re.compile(pattern)) for keyword, pattern in GUARDS]
     return tuple(out)
 
 
+@lru_cache(4096)
+def declared(identifier: str) -> int | None:
+    """The rule of a declared identifier, with its -only, -or-later or +; None for an unknown one."""
+    exact = KINDS["spdx"][0]
+    return next((k for k, r in enumerate(rules()) if r.priority in (exact, EXCEPTION_PRIORITY) and r.pattern.fullmatch(identifier)), None)
+
+
+def declarations(flat: str) -> list[tuple[int, int, int]]:
+    """Detections of the known identifiers of all declared expressions, joined by AND, OR and WITH."""
+    found = []
+    for m in DECLARED.finditer(flat):
+        for i in IDENTIFIER.finditer(m[1]):
+            if (k := declared(i[0].rstrip("."))) is not None:
+                found.append((m.start(1) + i.start(), m.start(1) + i.end(), k))
+    return found
+
+
 @lru_cache(1)
 def gate() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
@@ -167,8 +265,11 @@ def detect(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, confidence) of unsuppressed detections in lower-cased text."""
     flat = SPACING.sub(" ", text)
     wanted = sorted({k for _, at in gate().iter(flat) for k in at})
-    found = [(m.start(), m.end(), k) for k in wanted for m in rules()[k].pattern.finditer(flat)]
-    return [(s, e, rules()[k].label, rules()[k].confidence) for s, e, k in unsuppressed(found, [r.priority for r in rules()])]
+    exact = KINDS["spdx"][0]
+    found = [(m.start(), m.end(), k) for k in wanted if rules()[k].priority != exact for m in rules()[k].pattern.finditer(flat)]
+    if any(rules()[k].priority == exact for k in wanted):
+        found += declarations(flat)
+    return [(s, e, rules()[k].label, rules()[k].confidence) for s, e, k in unsuppressed(found, [r.priority for r in rules()]) if rules()[k].label]
 
 
 def unsuppressed(found: list[tuple[int, int, int]], priority: list[int]) -> list[tuple[int, int, int]]:
