@@ -32,6 +32,8 @@ FREE = r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|^\d{1,2}[/.-]\d
 WEEKDAY = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+"
 MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\.?"
 CLOCK = r"^(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)? ?([ap]m)?$"
+#: A zone after a clock time: universal time by name, with or without hours from it, or hours from it alone.
+ZONE = r"(?<=[\dm]) ?(?:z|(?:utc|gmt)?(?: ?([+-])(\d{2}):?(\d{2})?)?)$"
 
 
 def strip(x: Column) -> Column:
@@ -93,7 +95,7 @@ def date_steps(v: Column) -> list[tuple[str, Column]]:
 
 
 def free_date(v: Column) -> Column:
-    """A date with a named month, or a numeric one with a clock time: weekday, ordinals, commas and am or pm are read; numeric ones month first where they can be."""
+    """A date with a named month, or a numeric one with a clock time: weekday, ordinals, commas, am or pm and a zone (taken to universal time) are read; numeric ones month first where they can be."""
     t = F.regexp_replace(F.regexp_replace(F.lower(v), WEEKDAY, ""), r"(?<=\d)(?:st|nd|rd|th)\b", "")
     t = F.regexp_replace(t, r"[,\s]+(?:at )?", " ")
     for form, to in (
@@ -103,13 +105,16 @@ def free_date(v: Column) -> Column:
         (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}) ", "$1/$2/$3|"),
     ):
         t = F.regexp_replace(t, form, to)
-    day, clock = F.substring_index(t, "|", 1), F.when(F.contains(t, F.lit("|")), F.substring_index(t, "|", -1))
+    day, whole = F.substring_index(t, "|", 1), F.when(F.contains(t, F.lit("|")), F.substring_index(t, "|", -1))
+    clock = F.regexp_replace(whole, ZONE, "")
+    ahead = [F.coalesce(F.regexp_extract(whole, ZONE, k).try_cast("int"), F.lit(0)) for k in (2, 3)]
+    zone = (ahead[0] * 60 + ahead[1]) * F.when(F.regexp_extract(whole, ZONE, 1) == "-", -1).otherwise(1)
     at = F.coalesce(F.try_to_timestamp(F.initcap(day), F.lit("d MMM yyyy")), F.try_to_timestamp(day, F.lit("M/d/yyyy")), F.try_to_timestamp(day, F.lit("d/M/yyyy")))
     hour, minute, second = (F.coalesce(F.regexp_extract(clock, CLOCK, k).try_cast("int"), F.lit(0)) for k in (1, 2, 3))
     half = F.regexp_extract(clock, CLOCK, 4)
     fits = (minute < 60) & (second < 60) & F.when(half == "", hour < 24).otherwise(hour.between(1, 12))
     of_day = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    return F.when(clock == "", at).when(clock.rlike(CLOCK) & fits, at + F.make_dt_interval(F.lit(0), of_day, minute, second.cast("decimal(18,6)")))
+    return F.when(whole == "", at).when(clock.rlike(CLOCK) & fits & (ahead[0] < 24) & (ahead[1] < 60), at + F.make_dt_interval(F.lit(0), of_day, minute - zone, second.cast("decimal(18,6)")))
 
 
 def date(x: Column) -> Column:

@@ -7,19 +7,21 @@ and all their examples come from one exploded pass.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import cached_property, reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
 from ..operators import checks, records
 from ..operators import profile as profiles
+from ..operators.onepass import counted_with_examples
 from ..shared import written
 from . import score
 from .rules import Rule, bind, default_pack
@@ -118,20 +120,28 @@ def cell_counts(df: DataFrame, bound: list[tuple[Rule, checks.Outcome]]) -> list
     return out
 
 
+def shown_and_reason(rule: Rule, o: checks.Outcome) -> tuple[Column, Column, Column, Column]:
+    """What ``onepass`` asks of a cell rule."""
+    reason = F.lit(rule.message or o.reason) if isinstance(o.reason, str) else (F.lit(rule.message) if rule.message else o.reason)
+    return o.evaluated, o.failed, X.shown(F.col(f"`{rule.column}`").cast("string")), reason
+
+
+def counts_and_examples(df: DataFrame, bound: list[tuple[Rule, checks.Outcome]], cap: int = config.EXAMPLE_CAP) -> tuple[list[tuple[int, int]], DataFrame]:
+    """(evaluated, failed) of each rule, and its first ``cap`` violations and valid values in row order, from one pass (BATCH rules each)."""
+    counts, examples = [], []
+    for part in itertools.batched(bound, BATCH):
+        found = written(counted_with_examples(df, [shown_and_reason(r, o) for r, o in part], cap), "onepass")
+        n = {(r["rule"], r["failed"]): r["n"] for r in found.where("n is not null").collect()}
+        counts += [(n.get((k, False), 0) + n.get((k, True), 0), n.get((k, True), 0)) for k in range(len(part))]
+        names = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.dimension).alias("dimension"), F.lit(r.column).alias("column")) for r, _ in part])
+        own = found.where("n is null").withColumn("_r", F.element_at(names, F.col("rule") + 1))
+        examples.append(own.select("_r.rule_id", "_r.dimension", F.when(F.col("failed"), "violation").otherwise("valid").alias("validity"), "row", "_r.column", "value", "reason"))
+    return counts, reduce(DataFrame.unionByName, examples, df.sparkSession.createDataFrame([], EXAMPLES))
+
+
 def cell_examples(df: DataFrame, bound: list[tuple[Rule, checks.Outcome]], cap: int = config.EXAMPLE_CAP) -> DataFrame | None:
-    """The first ``cap`` violations and valid values of each rule in row order, from one pass over the dataset for a few rules."""
-    if not bound:
-        return None
-    if len(bound) > BATCH // 2:
-        return cell_examples(df, bound[: BATCH // 2], cap).unionByName(cell_examples(df, bound[BATCH // 2 :], cap))
-    parts = []
-    for rule, o in bound:
-        x = F.col(f"`{rule.column}`").cast("string")
-        reason = F.lit(rule.message or o.reason) if isinstance(o.reason, str) else (F.lit(rule.message) if rule.message else o.reason)
-        failed = F.coalesce(o.failed, F.lit(False))
-        parts.append(F.when(o.evaluated, F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.dimension).alias("dimension"), F.when(failed, "violation").otherwise("valid").alias("validity"), F.lit(rule.column).alias("column"), X.shown(x).alias("value"), F.when(failed, reason).alias("reason"))))
-    rows = df.select(F.col(ROW).alias("row"), F.explode(F.array_compact(F.array(*parts))).alias("p")).select("p.rule_id", "p.dimension", "p.validity", "row", "p.column", "p.value", "p.reason")
-    return first_of_each(rows, cap)
+    """The first ``cap`` violations and valid values of each rule in row order."""
+    return counts_and_examples(df, bound, cap)[1] if bound else None
 
 
 def record_examples(rule: Rule, rows: DataFrame, cap: int) -> DataFrame:
@@ -146,8 +156,11 @@ def first_of_each(rows: DataFrame, cap: int) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap).drop("_k")
 
 
-def assess(df: DataFrame, as_of: datetime, rules: list[Rule] | None = None, cdes: list[str] | None = None, profile: list[dict] | None = None, others: dict[str, DataFrame] | None = None, cap: int = config.EXAMPLE_CAP) -> Assessment:
-    """Assess a dataset with ``__row__``; ``profile`` resumes from one made before (P19), ``cdes`` overrides the critical columns."""
+def assess(df: DataFrame, as_of: datetime, rules: list[Rule] | None = None, cdes: list[str] | None = None, profile: list[dict] | None = None, others: dict[str, DataFrame] | None = None, cap: int = config.EXAMPLE_CAP, with_examples: bool = False) -> Assessment:
+    """Assess a dataset with ``__row__``; ``profile`` resumes from one made before (P19), ``cdes`` overrides the critical columns.
+
+    ``with_examples`` takes counters and examples of cell rules from the same pass; else examples are looked for when asked for.
+    """
     df = numbered(df)
     if profile is None:
         profile = profiles.profile(df, cdes)
@@ -162,7 +175,8 @@ def assess(df: DataFrame, as_of: datetime, rules: list[Rule] | None = None, cdes
     cells = outcomes(bound, context, errors)
     df = context.df
     results, record_rows = [], []
-    for (rule, _), (evaluated, failed) in zip(cells, cell_counts(df, cells), strict=True):
+    counts, at_once = counts_and_examples(df, cells, cap) if with_examples else (cell_counts(df, cells), None)
+    for (rule, _), (evaluated, failed) in zip(cells, counts, strict=True):
         results.append((rule, evaluated, failed))
     for rule in bound:
         if rule.check in records.RECORD_CHECKS:
@@ -186,7 +200,8 @@ def assess(df: DataFrame, as_of: datetime, rules: list[Rule] | None = None, cdes
 
     def examples() -> list[DataFrame]:
         made = [record_examples(r, rows, cap) for r, rows in record_rows]
-        return [e, *made] if (e := cell_examples(df, cells, cap)) is not None else made
+        own = at_once if at_once is not None else cell_examples(df, cells, cap)
+        return [own, *made] if own is not None else made
 
     out = Assessment(df.sparkSession, rows, profile, bound, kept, errors, not_assessed, examples)
     out.scores, out.overall = score.score_dict(kept, not_assessed)

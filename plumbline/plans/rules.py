@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
+from .. import config
 from ..config import DIMENSIONS, SEVERITY_WEIGHTS
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
@@ -85,6 +86,8 @@ def parse_pack(entries: list[dict[str, Any]], known: set[str] | None = None) ->
         if e["id"] in seen:
             raise ValueError(f"rule {e['id']} occurs twice")
         seen.add(e["id"])
+        if e["dimension"] in config.DEFERRED_DIMENSIONS:
+            raise ValueError(f"rule {e['id']}: the dimension {e['dimension']} is deferred and not assessed yet (config.DEFERRED_DIMENSIONS)")
         if e["dimension"] not in DIMENSIONS:
             raise ValueError(f"rule {e['id']}: no dimension {e['dimension']}")
         if (severity := e.get("severity", "medium")) not in SEVERITY_WEIGHTS:
@@ -99,6 +102,8 @@ def load_pack(path: str | None = None, known: set[str] | None = None) -> list[Ru
     """The default pack, or one from a JSON or YAML file with a list ``rules``."""
     if path is None:
         return default_pack()
+    if not Path(path).exists():
+        raise ValueError(f"there is no rule pack {path}")
     text = Path(path).read_text(encoding="utf-8")
     if path.endswith(".json"):
         data = json.loads(text)
@@ -106,7 +111,10 @@ def load_pack(path: str | None = None, known: set[str] | None = None) -> list[Ru
         import yaml
 
         data = yaml.safe_load(text)
-    return parse_pack((data or {}).get("rules") or [], known)
+    entries = data.get("rules") if isinstance(data, dict) else None
+    if not isinstance(entries, list) or not entries or not all(isinstance(e, dict) for e in entries):
+        raise ValueError("a rule pack is a list of mappings under the name rules")
+    return parse_pack(entries, known)
 
 
 def _listed(x: Any) -> list:

@@ -77,12 +77,39 @@ def purge(spark: SparkSession, path: str) -> bool:
     return deleted(spark, path)
 
 
+#: What a low score of a dimension means for those who use the data.
+MEANING = {
+    "completeness": "Values are missing or only stand in for missing ones: counts and joins on these columns leave records out.",
+    "validity": "Values do not have the form that they should have: systems that read them will refuse or misread them.",
+    "uniqueness": "Records occur more than once: totals are too high, and people are written to twice.",
+    "consistency": "The same thing is written in several ways: grouping by these columns splits what belongs together.",
+    "accuracy": "Values are well formed but unlikely to be true: decisions that rest on them go wrong unnoticed.",
+    "timeliness": "Records are old or dated ahead: they describe a state that no longer or not yet holds.",
+    "integrity": "Columns contradict each other: what is looked up by one does not fit the other.",
+}
+
+
+def meaning_of(dimension: str, score: float | None, failed: int, why: str | None) -> str:
+    """A sentence or two on what the score of a dimension says."""
+    if score is None:
+        return f"Not assessed: {why or 'no rule applies'}. Nothing is said about it, good or bad."
+    if not failed:
+        return "No rule found a fault."
+    return f"{failed} findings. " + (MEANING[dimension] if score < 90 else "Few for the number of values; see the rules below.")
+
+
 def render(a: Assessment, title: str = "Data quality") -> str:
     """K6: the report as one HTML page: scores, failing rules and their first rows."""
     c, e = report_context(a), lambda x: html.escape("-" if x is None else str(x))
     out = [f"<!doctype html><meta charset=utf-8><title>{e(title)}</title><h1>{e(title)}</h1><p>Overall {e(c['overall'])}: {e(c['band'])}. {a.rows} rows.</p><table>"]
     out += [f"<tr><td>{e(d)}<td>{e(s)}<td>{e(c['not_assessed'].get(d, a.bands.get(d)))}" for d, s in c["dimensions"]]
-    out.append("</table>")
+    out.append("</table><h2>What this means</h2><dl>")
+    for d, s in c["dimensions"]:
+        failed = sum(r["failed"] for r in a.results if r["dimension"] == d)
+        out.append(f"<dt>{e(d)}<dd>{e(meaning_of(d, s, failed, c['not_assessed'].get(d)))}")
+    out.append("</dl><p>Integrity is judged within this dataset; relations to others are judged where they are given.</p>")
+    if critical := [x["column"] for x in a.profile if x["is_cde"]]:
+        out.append(f"<p>Judged were the critical columns {e(', '.join(critical))}.</p>")
     for r in c["rules"]:
         out.append(f"<h3>{e(r['rule_id'])} {e(r['name'])}</h3><p>{r['failed']} of {r['evaluated']} failed</p><table>")
         out += [f"<tr><td>{x['row']}<td>{e(x['column'])}<td>{e(x['value'])}<td>{e(x['reason'])}" for x in r["examples"]]

@@ -16,6 +16,7 @@ from .. import config, refdata
 from ..functions import text as X
 from ..operators import checks, dependencies, fuzzy, records
 from ..operators import profile as profiles
+from ..operators.ranges import in_ranges
 from ..plans import assess, registry, score, serve
 from ..plans.rules import EMAIL, Rule, bind, default_pack
 from ..shared import fresh_path, written
@@ -298,6 +299,19 @@ add("csv_scan", csv_scan, "select lang, count(*) n, cast(sum(length('\"' || text
 add("csv_bad_rows", csv_bad_rows, "select count(*) records, count(*) filter (o_custkey % 10 = 3) dropped, count(*) filter (o_custkey % 10 <> 3) kept, cast(sum(o_orderkey) filter (o_custkey % 10 <> 3) as bigint) orders from orders")
 
 
+# Ranges -------------------------------------------------------------------------
+
+
+def part_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by the parts whose range of keys (key less size to key plus size) holds their part's key."""
+    ranges = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey - p_size as low", "p_partkey + p_size as high")
+    found = in_ranges(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), ranges, "l_partkey", "low", "high")
+    return found.groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("l_orderkey").cast("long").alias("orders"))
+
+
+add("range_join", part_ranges, "select p_partkey, count(*) n, cast(sum(l_orderkey) as bigint) orders from lineitem join part on l_partkey between p_partkey - p_size and p_partkey + p_size group by 1")
+
+
 # Examples, scores and serving -------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Golden counts of seeded defects, and properties of whole assessments."""
 
+import json
 from datetime import datetime
 
 import fixtures
@@ -123,7 +124,6 @@ def test_components(spark):
 
 
 def test_registered_and_files(tmp_path):
-    import json
 
     from plumbline.operators import registered
 
@@ -145,3 +145,17 @@ def test_one_faulty_rule_does_not_stop_others(spark):
     fine = R.Rule("OK", "x", "completeness", "not_null")
     a = A.assess(df, AS_OF, [broken, fine], cdes=["email"])
     assert list(a.errors) == ["BAD-01"] and [r["rule_id"] for r in a.results] == ["OK-01"]
+
+
+def test_refused_packs(tmp_path, monkeypatch):
+    path = tmp_path / "pack.json"
+    for text in ('{"rules": []}', "[]", '{"rules": ["x"]}'):
+        path.write_text(text)
+        with pytest.raises(ValueError, match="list of mappings"):
+            R.load_pack(str(path))
+    with pytest.raises(ValueError, match="no rule pack"):
+        R.load_pack(str(tmp_path / "none.json"))
+    monkeypatch.setattr(R.config, "DEFERRED_DIMENSIONS", ("lineage",))
+    path.write_text(json.dumps({"rules": [{"id": "A", "name": "a", "dimension": "lineage", "check": "not_null"}]}))
+    with pytest.raises(ValueError, match="deferred"):
+        R.load_pack(str(path))

@@ -66,6 +66,8 @@ def test_free_forms_of_dates(spark):
         "Monday, September 3, 2024": "2024-09-03 00:00:00", "Tue 3rd Sept 2024": "2024-09-03 00:00:00", "Mar 5 2023": "2023-03-05 00:00:00",
         "2024 Jan 9": "2024-01-09 00:00:00", "May 7, 2021 3:05 PM": "2021-05-07 15:05:00", "7 May 2021 at 12:30:15 am": "2021-05-07 00:30:15",
         "9/14/2024 11:59 pm": "2024-09-14 23:59:00", "25/12/2024 08:00": "2024-12-25 08:00:00", "December 31 1999, 23:59:59": "1999-12-31 23:59:59",
+        "May 7, 2021 3:05 PM UTC": "2021-05-07 15:05:00", "7 May 2021 at 01:30 +02:00": "2021-05-06 23:30:00", "9/14/2024 23:59 -0130": "2024-09-15 01:29:00",
+        "Mon, 3 Sep 2024 10:00:00 GMT": "2024-09-03 10:00:00", "Dec 31 1999 23:00 GMT-03": "2000-01-01 02:00:00", "May 7, 2021 3:05Z": "2021-05-07 03:05:00", "May 7, 2021 3:05 +9900": None,
         "May 7, 2021 13:05 PM": None, "Feb 30, 2024": None, "market 5 2023": None, "not a date": None, "may": None, "May 7, 2021 xyz": None, "": None,
     }
     got = spark.createDataFrame([(f,) for f in forms], "v string").select("v", X.date(F.col("v")).cast("string").alias("d"), X.date_format(F.col("v")).alias("f")).collect()

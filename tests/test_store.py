@@ -32,7 +32,10 @@ def test_store(spark, df, tmp_path):
     assert store.load_results(spark, path).count() == len(a.results)
     rule = next(r["rule_id"] for r in a.results if r["template_id"] == "VAL-EMAIL")
     assert store.load_examples(spark, path, "validity", rule).count() == fixtures.dirty()[2]["mail form"]
-    assert "VAL-EMAIL" in store.render(a)
+    page = store.render(a)
+    assert "VAL-EMAIL" in page and "What this means" in page and "Not assessed" in page
+    at_once = A.assess(df, AS_OF, FEW, profile=profile, with_examples=True)
+    assert at_once.results == a.results and at_once.examples.exceptAll(a.examples).count() == a.examples.exceptAll(at_once.examples).count() == 0
     store.save_data(df, f"{path}/data")
     assert spark.read.option("header", True).option("escape", '"').csv(f"{path}/data").count() == 480 + fixtures.AGAIN
     assert store.purge(spark, path)
