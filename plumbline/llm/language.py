@@ -18,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields, pieces, slices, small_side, written
+from .common import and_fields, named, pieces, slices, small_side, written
 
 #: Labelled texts of each language that the trigram model is fitted on, about.
 FIT_ROWS = 1_000
 SLOTS = 1 << 16
+#: Languages whose trigram tables go to the tasks at a time.
+SENT_LANGUAGES = 128
 #: A text's evidence counts like that of this many trigrams at most.
 TEMPER = 60.0
 #: Weight of a domain in its host's prior, of everything in a domain's, and of the smoothing of declarations and suffixes.
@@ -59,7 +62,6 @@ def train(documents: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.nda
     labelled = documents.select(tag_of("lang").alias("lang"), F.col("text").cast("binary").alias("t")).where("lang is not null and t is not null")
     sizes = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
-    table = np.full((SLOTS, len(langs)), 0.5)
     if not langs:
         return langs, np.zeros((SLOTS, 0), np.float32)
     size = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(sizes[k]))])[F.col("lang")]
@@ -67,25 +69,44 @@ def train(documents: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, np.ndarray] = {}
-            for lang, t in zip(batch.column("lang").to_pylist(), batch.column("t"), strict=True):
-                at = slots_of(np.frombuffer(folded(t.as_py()), np.uint8))
-                counts[lang] = counts.get(lang, 0) + np.bincount(at, minlength=SLOTS)
-            for lang, c in counts.items():
+            rows: dict[str, list[int]] = {}
+            for k, lang in enumerate(batch.column("lang").to_pylist()):
+                rows.setdefault(lang, []).append(k)
+            for lang, own in rows.items():
+                c = np.zeros(SLOTS, np.int64)
+                for k in own:
+                    c += np.bincount(slots_of(np.frombuffer(folded(batch.column("t")[k].as_py()), np.uint8)), minlength=SLOTS)
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], ["lang", "slot", "n"])
 
-    found = picked.mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    for k, lang in enumerate(langs):
-        own = found[found.lang == lang]
-        table[own.slot.to_numpy(), k] += own.n.to_numpy()
-    return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
+    found = picked.mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    # one row of at most SLOTS pairs for a language, one language at a time
+    packed = found.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("c"))
+    table, place = np.full((SLOTS, len(langs)), 0.5, np.float32), {lang: k for k, lang in enumerate(langs)}
+    for r in packed.toLocalIterator():
+        pairs = np.array(r["c"], np.int64)
+        table[pairs[:, 0], place[r["lang"]]] += pairs[:, 1]
+    table /= table.sum(axis=0, dtype=np.float64).astype(np.float32)
+    return langs, np.log(table, out=table)
 
 
 def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """rows with ``t`` (binary) and ``markup`` (boolean) replaced by ``n`` (trigrams of letters) and ``ll`` (array, tempered log-likelihoods)."""
+    """rows with ``t`` (binary) and ``markup`` (boolean) replaced by ``n`` (trigrams of letters) and ``ll`` (array, tempered log-likelihoods).
+
+    The tables of SENT_LANGUAGES languages at most (32 MB) go to the tasks at a time.
+    """
+    if table.shape[1] <= SENT_LANGUAGES:
+        return evidence_of(rows, table)
+    kept, parts = [c for c in rows.columns if c not in ("t", "markup")], []
+    for at in range(0, table.shape[1], SENT_LANGUAGES):
+        rows = evidence_of(rows, np.ascontiguousarray(table[:, at : at + SENT_LANGUAGES]), keep=True).withColumnRenamed("ll", f"_ll{at}").withColumnRenamed("n", f"_n{at}")
+        parts.append(at)
+    return rows.select(*[named(c) for c in kept], F.col("_n0").alias("n"), F.concat(*[F.col(f"_ll{at}") for at in parts]).alias("ll"))
+
+
+def evidence_of(rows: DataFrame, table: np.ndarray, keep: bool = False) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(table)
-    kept = [c for c in rows.columns if c not in ("t", "markup")]
+    kept = [c for c in rows.columns if keep or c not in ("t", "markup")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -106,21 +127,19 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
             ll = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.maximum(sizes, 0)), ll], [*kept, "n", "ll"])
 
-    schema = and_fields(rows.select(*kept).schema, "n long, ll array<double>")
+    schema = and_fields(rows.select(*[named(c) for c in kept]).schema, "n long, ll array<double>")
     return rows.mapInArrow(run, schema)
 
 
-def largest(parts: list[Column]) -> Column:
-    return F.greatest(*parts) if len(parts) > 1 else parts[0]
+def softmax(ll: np.ndarray) -> np.ndarray:
+    powers = np.exp(ll - ll.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
 
 
-def softmax(parts: list[Column]) -> list[Column]:
-    top = largest(parts)
-    powers = [F.exp(p - top) for p in parts]
-    total = powers[0]
-    for p in powers[1:]:
-        total = total + p
-    return [p / total for p in powers]
+def summed(rows: DataFrame, by: list[str], array: str, name: str) -> DataFrame:
+    """(by..., name): the sums of arrays of equal length, place by place, however many places there are."""
+    places = rows.select(*by, F.posexplode(array).alias("_k", "_v")).groupBy(*by, "_k").agg(F.sum("_v").alias("_v"))
+    return places.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"]).alias(name))
 
 
 def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
@@ -143,53 +162,42 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
         "suffix": F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([^.]+)$", 1),
         "host": F.coalesce("host", F.lit("")),
     })
-    each = written(text_evidence(rows, table), "evidence")
-    ll = [F.col("ll")[i] for i in k]
-    each = each.withColumns({f"q{i}": F.when(F.col("n") > 0, q).otherwise(F.lit(0.0)) for i, q in enumerate(softmax(ll))})
-    q = [f"q{i}" for i in k]
-    total = each.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in q]).first()
-    mass = sum(total)
-    share = [(total[i] + 1) / (mass + len(langs)) for i in k]
-
-    def sums(by: str, name: str) -> DataFrame:
-        return each.groupBy(by).agg(*[F.sum(c).alias(f"{name}{i}") for i, c in enumerate(q)])
-
-    hosts = each.groupBy("host", "domain").agg(*[F.sum(c).alias(f"h{i}") for i, c in enumerate(q)])
-    hosts = written(hosts.join(sums("domain", "d"), "domain").drop("domain"), "hosts")
-    signs = [small_side(written(sums(by, name), by), 16 + 8 * len(langs)) for by, name in (("declared", "m"), ("suffix", "s"))]
+    seen = text_evidence(rows, table)
+    tops = seen.withColumns({"_top": F.array_max("ll")}).withColumn("_p", F.expr("transform(ll, x -> exp(x - _top))")).withColumn("_sum", F.expr("aggregate(_p, 0D, (a, b) -> a + b)"))
+    q = F.when(F.col("n") > 0, F.expr("transform(_p, x -> x / _sum)")).otherwise(F.expr("transform(_p, x -> 0D)"))
+    each = written(tops.withColumn("q", q).drop("_top", "_p", "_sum"), "evidence")
+    size = 8 * len(langs)
+    by_host = written(summed(each, ["host", "domain"], "q", "h"), "hosts")
+    total = np.array((summed(by_host.withColumn("_all", F.lit(0)), ["_all"], "h", "t").first() or [0, [0.0] * len(langs)])[1])
+    hosts = written(by_host.join(summed(by_host, ["domain"], "h", "d"), "domain").drop("domain"), "hosts")
+    signs = [small_side(written(summed(each, [by], "q", name), by), 16 + size) for by, name in (("declared", "m"), ("suffix", "s"))]
     wide = hosts.agg(F.coalesce(F.max(F.octet_length("host")), F.lit(0))).first()[0]
-    joined = each.join(small_side(hosts, 32 + wide + 16 * len(langs)), "host").join(signs[0], "declared").join(signs[1], "suffix")
-
-    own = [F.col(c) for c in q]
-    d_total = sum((F.col(f"d{i}") - own[i] for i in k), F.lit(0.0))
-    h_total = sum((F.col(f"h{i}") - own[i] for i in k), F.lit(0.0))
-    logs = []
-    for i in k:
-        domain = (F.col(f"d{i}") - own[i] + DOMAIN_WEIGHT * share[i]) / (d_total + DOMAIN_WEIGHT)
-        host = F.when(F.col("host") == "", F.lit(share[i])).otherwise((F.col(f"h{i}") - own[i] + HOST_WEIGHT * domain) / (h_total + HOST_WEIGHT))
-        part = ll[i] + F.log(F.greatest(host, F.lit(1e-9)))
-        match = F.lit(0.9 / SIGN_WEIGHT) * (F.col("declared") == langs[i]).cast("double") + 0.1
-        said = (F.col(f"m{i}") - own[i] + SIGN_WEIGHT * match) / (total[i] + SIGN_WEIGHT)
-        part = part + F.when(F.col("declared") == "", F.lit(0.0)).otherwise(F.log(F.greatest(said, F.lit(1e-9))))
-        at = (F.col(f"s{i}") - own[i] + SIGN_WEIGHT * 0.1) / (total[i] + SIGN_WEIGHT)
-        logs.append(part + F.when(F.col("suffix") == "", F.lit(0.0)).otherwise(F.log(F.greatest(at, F.lit(1e-9)))))
-
-    def best(parts: list[Column]) -> Column:
-        top = largest(parts)
-        out = F.lit(langs[-1])
-        for i in reversed(k[:-1]):
-            out = F.when(parts[i] == top, F.lit(langs[i])).otherwise(out)
-        return out
-
-    post = [F.col(f"p{i}") for i in k]
-    known = (F.col("n") > 0) | (F.col("declared") != "")
-    scored = joined.select(*keys, "n", "declared", "ll", *[p.alias(f"p{i}") for i, p in enumerate(softmax(logs))])
-    return scored.select(
-        *keys,
-        F.when(known, best(post)).otherwise(F.lit("und")).alias("lang"),
-        F.when(known, largest(post)).otherwise(F.lit(0.0)).alias("probability"),
-        F.when(F.col("n") > 0, best(ll)).otherwise(F.lit("und")).alias("text_lang"),
-    )
+    joined = each.join(small_side(hosts, 32 + wide + 2 * size), "host").join(signs[0], "declared").join(signs[1], "suffix")
+    share, place = (total + 1) / (total.sum() + len(langs)), {lang: k for k, lang in enumerate(langs)}
+    names = pa.array(langs)
+
+    def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, max(1, (1 << 20) // len(langs))):
+            ll, q, h, d, m, s = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs)) for c in ("ll", "q", "h", "d", "m", "s"))
+            host, declared, suffix = (batch.column(c).to_pylist() for c in ("host", "declared", "suffix"))
+            d, h = d - q, h - q
+            domain = (d + DOMAIN_WEIGHT * share) / (d.sum(axis=1, keepdims=True) + DOMAIN_WEIGHT)
+            of_host = (h + HOST_WEIGHT * domain) / (h.sum(axis=1, keepdims=True) + HOST_WEIGHT)
+            of_host[[x == "" for x in host]] = share
+            logs = ll + np.log(np.maximum(of_host, 1e-9))
+            match = np.full(ll.shape, 0.1)
+            for row, tag in enumerate(declared):
+                if tag in place:
+                    match[row, place[tag]] += 0.9 / SIGN_WEIGHT
+            for sums, expected, given in ((m, match, declared), (s, 0.1, suffix)):
+                part = np.log(np.maximum((sums - q + SIGN_WEIGHT * expected) / (total + SIGN_WEIGHT), 1e-9))
+                logs += np.where(np.array([x != "" for x in given])[:, None], part, 0.0)
+            post, n = softmax(logs), batch.column("n").to_numpy(zero_copy_only=False)
+            known = (n > 0) | np.array([x != "" for x in declared])
+            best, by_text = (pa.compute.if_else(pa.array(w), names.take(pa.array(x.argmax(axis=1))), "und") for w, x in ((known, post), (n > 0, ll)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), best, pa.array(np.where(known, post.max(axis=1), 0.0)), by_text], [*keys, "lang", "probability", "text_lang"])
+
+    return joined.mapInArrow(fused, and_fields(joined.select(*[named(c) for c in keys]).schema, "lang string, probability double, text_lang string"))
 
 
 def languages(documents: DataFrame, pages: DataFrame) -> DataFrame:

@@ -80,6 +80,29 @@ def test_language(spark):
     assert language.train(rare)[0] == ["de", "en", "fi"] and {r.doc_id: r.lang for r in language.languages(rare, pages).collect()}[95] == "fi"
 
 
+def test_many_languages(spark, monkeypatch):
+    """150 languages, sent in parts: each text is found to be of its own; posteriors equal those worked out plainly."""
+    monkeypatch.setattr(language, "SENT_LANGUAGES", 64)
+    rng = random.Random(4)
+    tags = [a + b for a in "abcdefghijklmno" for b in "pqrstuvwxy"]
+    words = {t: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)] for t in tags}
+    rows = [(k, " ".join(rng.choices(words[t], k=12)), t, f"s{k % 7}", 1) for k, t in enumerate(tags * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    pages = spark.createDataFrame([(1, "http://w.x.de/a", f"<html lang='{tags[3]}'>{' '.join(words[tags[3]])}")], "page_id long, url string, html string")
+    got = language.languages(docs, pages).collect()
+    assert {r.doc_id: r.lang for r in got if r.doc_id is not None} == {r[0]: r[2] for r in rows}
+    assert [r.lang for r in got if r.page_id == 1] == [tags[3]]
+    langs, table = language.train(docs)
+    own = docs.where("doc_id < 3").selectExpr("doc_id", "cast(text as binary) t", "false markup", "cast(null as string) declared", "source host")
+    ll = {r.doc_id: np.array(r.ll) for r in language.text_evidence(own, table).collect()}
+    q = {k: np.exp(v - v.max()) / np.exp(v - v.max()).sum() for k, v in ll.items()}
+    share = (sum(q.values()) + 1) / (3 + len(langs))
+    for r in language.identify(own, langs, table).collect():
+        # each host is its own domain and has this text alone, so nothing but the share is left of both
+        post = np.exp(ll[r.doc_id] - ll[r.doc_id].max()) * share
+        assert r.probability == pytest.approx((post / post.sum()).max()) and r.lang == langs[post.argmax()]
+
+
 def test_language_of_a_text_does_not_depend_on_its_neighbour(spark):
     rows = spark.createDataFrame([(1, bytearray(b"abc de"), False), (2, bytearray(b"xyz"), False), (3, bytearray(b""), False), (4, bytearray(b"abc de"), False), (5, bytearray(b"q"), False)], "k long, t binary, markup boolean").coalesce(1)
     table = np.random.default_rng(2).normal(size=(language.SLOTS, 3)).astype(np.float32)
