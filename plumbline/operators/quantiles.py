@@ -20,7 +20,7 @@ def quantiles(rows: DataFrame, shares: tuple[float, ...], few: int = FEW) -> Dat
     A column without values has no row.
     """
     spark = rows.sparkSession
-    rows = rows.where("x is not null").select("column", "x", F.col("n") if "n" in rows.columns else F.lit(1).cast("long").alias("n"))
+    rows = rows.where("x is not null").select("column", F.col("x").cast("double").alias("x"), F.col("n") if "n" in rows.columns else F.lit(1).cast("long").alias("n"))
     whole = rows.groupBy("column").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
     brackets = [{"column": r["column"], "k": k, "at": q * (r["n"] - 1), "lo": r["lo"], "hi": r["hi"], "below": 0, "rows": r["rows"]} for r in whole for k, q in enumerate(shares)]
     schema = "column string, k int, at double, lo double, hi double, below long"

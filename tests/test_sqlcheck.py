@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks
+from plumbline.operators import profile as profiles
 from plumbline.plans import sqlcheck
 from plumbline.plans.rules import Rule
 from plumbline.queries import dq
@@ -27,7 +28,7 @@ def test_equals_columns(spark, rows, check, column, params):
     import json
 
     rule = Rule("Q", check, "validity", check, params=params, column=column)
-    o = checks.CELL_CHECKS[check](F.col(column).cast("string"), rule, checks.Context(rows, [{"column": column, "semantic_type": "amount", "inferred_type": "integer", "is_cde": True}], datetime(2024, 7, 1)))
+    o = checks.CELL_CHECKS[check](F.col(column).cast("string"), rule, checks.Context(rows, profiles.profile(rows.select("__row__", column), [column]), datetime(2024, 7, 1)))
     want = {r["state"]: (r["e"], r["f"]) for r in rows.groupBy("state").agg(F.count_if(o.evaluated).alias("e"), F.count_if(o.evaluated & o.failed).alias("f")).collect()}
     text = json.dumps(params).replace("\\", "\\\\").replace("'", "\\'")
     got = spark.sql(f"select * from dq_check(table(checked), '{check}', '{column}', '{text}', 'state')").collect()
