@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as X
+from ..functions.phonetic import phonetic_codes
 from ..plans.rules import Rule
 from ..shared import small_side, written
 from . import fuzzy
@@ -128,12 +129,19 @@ IDENTITY_FIELDS = 6
 IDENTITY = ("person_name", "org_name", "email", "phone", "address")
 
 
-def fuzzy_keys(context: Context, limit: int | None = IDENTITY_FIELDS) -> DataFrame | None:
-    """(row, text, keys) with the blocking keys of a record: mail name, last digits, head and skeleton of names; of the first ``limit`` identity fields."""
+def behind(head: Column) -> Callable[[Column], Column]:
+    return lambda code: F.concat(head, code)
+
+
+def fuzzy_keys(context: Context, limit: int | None = IDENTITY_FIELDS, phonetic: bool = False) -> DataFrame | None:
+    """(row, text, keys) with the blocking keys of a record: mail name, last digits, head and skeleton of names; of the first ``limit`` identity fields.
+
+    ``phonetic`` takes the head with each of the name's two phonetic codes in place of the skeleton, so that names meet on either code.
+    """
     fields = [c for c in cdes(context) if c["semantic_type"] in IDENTITY][:limit]
     if not fields:
         return None
-    keys = []
+    keys, codes = [], []
     for c in fields:
         x, kind = text_of(c["column"]), c["semantic_type"]
         v = F.lower(context.trimmed(c["column"]))
@@ -144,15 +152,19 @@ def fuzzy_keys(context: Context, limit: int | None = IDENTITY_FIELDS) -> DataFra
             keys.append(F.when(F.length(digits) >= 7, F.concat(F.lit("p:"), F.right(digits, F.lit(7)))))
         else:
             t = X.normalised(x)
+            if phonetic:
+                head = F.concat(F.lit("n:"), F.left(t, F.lit(3)), F.lit(":"))
+                codes.append(F.when(F.length(t) >= 3, F.transform(phonetic_codes(t), behind(head))))
+                continue
             keys.append(F.when(F.length(t) >= 3, F.concat(F.lit("n:"), F.left(t, F.lit(3)), F.left(F.regexp_replace(t, "[aeiou]", ""), F.lit(4)))))
     whole = F.concat_ws(" ", *[F.when(X.normalised(text_of(c["column"])) != "", X.normalised(text_of(c["column"]))) for c in fields])
-    rows = context.df.select(F.col(ROW).alias("row"), whole.alias("text"), F.array_compact(F.array(*keys)).alias("keys")).where("text <> ''")
+    rows = context.df.select(F.col(ROW).alias("row"), whole.alias("text"), F.concat(F.array_compact(F.array(*keys).cast("array<string>")), *[F.coalesce(k, F.array().cast("array<string>")) for k in codes]).alias("keys")).where("text <> ''")
     return rows
 
 
 @record_check("fuzzy_duplicate")
 def fuzzy_duplicate(rule: Rule, context: Context) -> Found | None:
-    if (rows := fuzzy_keys(context, rule.params.get("max_fields", IDENTITY_FIELDS))) is None:
+    if (rows := fuzzy_keys(context, rule.params.get("max_fields", IDENTITY_FIELDS), rule.params.get("phonetic", False))) is None:
         return None
     rows = written(rows, "fuzzy")
     member = components(fuzzy.links(rows, rule.params.get("threshold", config.FUZZY_THRESHOLD), rule.params.get("max_block_size")))

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from plumbline.queries import dq
 
 SF = "/root/testdata/sf0.001"
-SOME = ["chk_not_null", "chk_pattern_consistent", "profile_topk", "profile_masks", "dup_exact", "fd_pairs", "examples_topn", "score_dimension", "registry_list", "dashboard_top5"]
+SOME = ["chk_not_null", "chk_pattern_consistent", "profile_topk", "profile_masks", "dup_exact", "fd_pairs", "examples_topn", "score_dimension", "registry_list", "dashboard_top5", "csv_scan", "csv_bad_rows", "range_join", "fd_lattice", "dup_fuzzy_pairs"]
 
 
 @pytest.fixture(scope="module")
