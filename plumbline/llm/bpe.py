@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import and_fields, tidy
+from .common import REMEMBERED, and_fields, tidy
 
 #: Distinct chunks in each of the two generations that a worker remembers: those met lately, and those met before them.
 CACHE_CHUNKS = 250_000
@@ -136,6 +136,7 @@ def encoded(batches: Iterator[pa.RecordBatch], bpe: WordBpe, text: str) -> Itera
 @lru_cache(1)
 def encoder(spec: str) -> WordBpe:
     """The encoder of a worker: what it remembers serves all its tasks."""
+    REMEMBERED[__name__] = encoder.cache_clear
     return WordBpe(spec)
 
 

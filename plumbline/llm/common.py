@@ -127,11 +127,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+#: What a module's functions remember in a worker between tasks, and how to forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's function that gives unused memory back to the system when it is done: workers outlive their tasks."""
+    """A task's function that first gives up what tasks of other modules remembered, and gives unused memory back to the
+    system when it is done: workers outlive their tasks."""
 
     @functools.wraps(run)
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for module, forget in REMEMBERED.items():
+            if module != run.__module__:
+                forget()
         try:
             yield from run(batches)
         finally:
