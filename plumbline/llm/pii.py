@@ -6,8 +6,8 @@ inside longer digit runs, telephone numbers without a plus, masked addresses,
 secrets, identity numbers, and whatever a base pattern matched but its rule
 refused.  Depth-two trees look at the format of a candidate (kind, digits,
 letters, groups, checksum, variety, first character, length) and at the words
-around it.  Examples are drawn, rewritten and counted by feature vector in Spark; boosting
-runs on those counts, which a documented number of examples bounds.  Trees and
+around it.  All examples are rewritten and counted by feature vector in Spark; boosting
+runs on those counts, whose number the few bins of a vector bound, not that of the texts.  Trees and
 thresholds then judge every candidate of every text inside the query.
 
 There are no labelled spans, so labels come by construction: spans that satisfy
@@ -58,8 +58,8 @@ BEFORE, AFTER = 24, 8
 #: Places in a list of matches that one pass adds up before it starts a list anew.
 CHUNK = 256
 
-#: Examples at most (the smallest hashes), rounds, shrinkage, smoothing of a leaf, and the precision that a threshold must keep.
-EXAMPLES, ROUNDS, SHRINK, RIDGE, PRECISION = 20_000, 24, 0.4, 1.0, 0.97
+#: Rounds, shrinkage, smoothing of a leaf, and the precision that a threshold must keep.
+ROUNDS, SHRINK, RIDGE, PRECISION = 24, 0.4, 1.0, 0.97
 FEATURES = ("kind", "digits", "letters", "groups", "check", "variety", "lead", "cue", "tail", "size")
 NO_SPANS = "array<struct<k:int,s:int,e:int,t:string,b:string,a:string>>"
 
@@ -201,12 +201,11 @@ def variants(x: Column) -> Column:
     return F.filter(F.array(*made), lambda v: v.isNotNull())
 
 
-def examples(spans: DataFrame, most: int = EXAMPLES) -> DataFrame:
-    """Distinct feature vectors with their counts (n0, n1 to fit, c0, c1 to set thresholds), from at most ``most`` spans, those of the smallest hashes."""
+def examples(spans: DataFrame) -> DataFrame:
+    """Distinct feature vectors with their counts (n0, n1 to fit, c0, c1 to set thresholds), from all spans."""
     good = F.concat(*[F.filter(f"_base{k}", base_rule(k)) for k in BASE], F.filter(candidates(), lambda x: (x["k"] >= ID) & strict(x)))
-    some = spans.select(F.explode(good).alias("x")).withColumn("h", F.xxhash64("x.k", "x.t", "x.b", "x.a"))
-    some = some.orderBy("h", "x.s").limit(most)
-    rows = some.select(F.explode(variants(F.col("x"))).alias("v"), (F.pmod("h", F.lit(4)) == 0).alias("apart"))
+    each = spans.select(F.explode(good).alias("x")).withColumn("h", F.xxhash64("x.k", "x.t", "x.b", "x.a"))
+    rows = each.select(F.explode(variants(F.col("x"))).alias("v"), (F.pmod("h", F.lit(4)) == 0).alias("apart"))
     rows = rows.select(features(F.col("v")).alias("f"), "v.label", "apart")
     count = lambda apart, label: F.sum(((F.col("apart") == apart) & (F.col("label") == label)).cast("long"))
     return rows.groupBy("f").agg(count(False, 0).alias("n0"), count(False, 1).alias("n1"), count(True, 0).alias("c0"), count(True, 1).alias("c1"))
@@ -261,7 +260,7 @@ def margin(trees: list[Tree], f: list[int]) -> float:
 
 
 def boost(table: list[Counted], rounds: int = ROUNDS) -> list[Tree]:
-    """Trees for the logistic loss over counted feature vectors: at most as many as there are examples, as a rule a few hundred."""
+    """Trees for the logistic loss over counted feature vectors, as a rule a few hundred whatever the number of examples."""
     trees: list[Tree] = []
     rows = [(f, n0 + n1, n1) for f, n0, n1, _, _ in table if n0 + n1]
     margins = [0.0] * len(rows)

@@ -103,3 +103,10 @@ def test_redacted(spark, model):
     texts = ["é a@b.de, +1 (234) 555-0100; 1.2.3.4 end", "password=b7db7aa4a5fcc78305 and a@b.de"]
     got = pii.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == ["é <email>, <phone>; <ip> end", "<secret> and <email>"]
+
+
+def test_all_spans_are_examples(spark):
+    texts = [" ".join(f"{w}{i} a{i}@b{w}.de" for i in range(1000)) for w in range(21)]
+    counted = pii.examples(pii.with_spans(spark.createDataFrame([(t,) for t in texts], "text string"))).collect()
+    assert sum(r.n0 + r.n1 + r.c0 + r.c1 for r in counted) == 3 * 21_000  # an address, behind other words, and with [at]
+    assert sum(r.c1 for r in counted) > 3 * 4_000 and len(counted) < 500
