@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document with the smallest doc_id stays.
 
+    SimHash proposes pairs, whose shingles decide; a prefix-filter join adds the pairs that fingerprints miss.
     Null and empty texts are copies of each other; a null doc_id is the
     smallest; of rows that repeat a doc_id and text one stays.
     """

@@ -1,13 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles: an exact prefix-filter join.
+"""Near copies by SimHash, held against the Jaccard similarity of word shingles, with an exact prefix-filter join for the rest.
 
-Two sets of at least ``SIMILARITY`` share one of their first n - ceil(0.8 n) + 1
+SimHash fingerprints of five-word shingles propose pairs by multi-index hashing;
+those whose sets are similar enough are links.  Fingerprints miss similar pairs,
+so a join finds the ones between documents that these links leave apart:  two sets of at least ``SIMILARITY`` share one of their first n - ceil(0.8 n) + 1
 shingles in any common order, so documents that share such a shingle are all
-the candidates there are.  Shingles met often come last in that order, which
-only saves work.  Candidates are compared whole, shingle by shingle, unless
-256 parities of their shingles differ in more places than two similar sets can.
+the candidates there are.  Shingles met often come last in that order, and of
+shingles that the same documents share one is used, which only saves work.  Candidates are compared whole, shingle by shingle, unless
+1,024 parities of their shingles differ in more places than two similar sets can.
 
 Only components matter, so of the documents that share a shingle each is first
-compared with one; then those of different components with each other.
+compared with a few; then those of different components with each other.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, dropped, slices, small_side, tidy, written
 
 SHINGLE = 5
@@ -27,8 +30,12 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 SEED = 42
 #: Shingles that a task counts together, how often one must be met there to be told, and how many are told apart: these decide the order alone.
-COUNTED, OFTEN, FREQUENT = 1 << 20, 4, 1 << 18
-ODD = ["s0", "s1", "s2", "s3"]
+COUNTED, OFTEN, FREQUENT = 1 << 20, 2, 1 << 18
+#: Classes of shingles whose parities travel with each document, 64 to a column.
+FEW = 1024
+ODD = [f"s{k}" for k in range(FEW // 64)]
+#: Documents of a group, at most, that all others of it are compared with first.
+LEADS = 8
 #: Classes of shingles whose parities pairs are compared by before their sets are.
 CLASSES = 4096
 
@@ -83,7 +90,7 @@ def frequent(documents: DataFrame) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, often: np.ndarray) -> DataFrame:
-    """(_id, n, s0 to s3, tokens): of each of documents(_id, t) with words how many shingles it has, for each of 256 classes of them whether their number is odd, and its first shingles."""
+    """(_id, n, s0 and on, tokens): of each of documents(_id, t) with words how many shingles it has, for each of FEW classes of them whether their number is odd, and its first shingles."""
     rank = np.argsort(often)
     sent = documents.sparkSession.sparkContext.broadcast((often[rank], rank.astype(np.int32)))
     part, whole = SIMILARITY
@@ -98,15 +105,15 @@ def prefixes(documents: DataFrame, often: np.ndarray) -> DataFrame:
                     own = shingles(t.as_py())
                     if not (n := len(own)):
                         continue
-                    odd.append(np.packbits(np.bincount(own & 255, minlength=256) & 1))
+                    odd.append(np.packbits(np.bincount(own & (FEW - 1), minlength=FEW) & 1))
                     if len(known):
                         place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                         own = own[np.argsort(np.where(known[place] == own, rank[place], -1), kind="stable")]
                     found.append(own[: n + (-part * n // whole) + 1])
                     ids.append(i)
                     sizes.append(n)
-                words = np.array(odd, np.uint8).reshape(-1, 32).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(words[:, k].copy()) for k in range(4)), pa.array(found, pa.list_(pa.int64()))], ["_id", "n", *ODD, "tokens"])
+                words = np.array(odd, np.uint8).reshape(-1, FEW // 8).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(words[:, k].copy()) for k in range(len(ODD))), pa.array(found, pa.list_(pa.int64()))], ["_id", "n", *ODD, "tokens"])
 
     return documents.mapInArrow(run, f"_id long, n long, {', '.join(f'{c} long' for c in ODD)}, tokens array<long>")
 
@@ -155,6 +162,29 @@ def alike(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return found
 
 
+def by_fingerprints(documents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(src, dst): the similar pairs among those that SimHash proposes, of documents(_id, t) with sizes(_id, n).
+
+    Of equal fingerprints each document meets the first, of fingerprints within ``simhash.MAX_BITS`` bits the first ones meet.
+    """
+    each = written(simhash.fingerprints(documents.select(F.col("_id").alias("doc_id"), F.col("t").alias("text")), SHINGLE), "fingerprints")
+    distinct = written(each.groupBy("fp").agg(F.min("_id").alias("first"), F.count("*").alias("k")), "distinct")
+    equal = each.join(small_side(written(distinct.where("k > 1").select("fp", "first"), "equal"), 32), "fp").where("_id <> first").select(F.col("first").alias("src"), F.col("_id").alias("dst"))
+    near = written(simhash.links(distinct.select("fp")), "near")
+    of = {side: distinct.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_id")) for side in ("src", "dst")}
+    near = near.join(of["src"], "src").join(of["dst"], "dst").select(F.least("src_id", "dst_id").alias("src"), F.greatest("src_id", "dst_id").alias("dst"))
+    pairs = written(equal.unionByName(near), "proposed")
+    sized = pairs.join(sizes.select(F.col("_id").alias("src"), "n"), "src").join(sizes.select(F.col("_id").alias("dst"), F.col("n").alias("m")), "dst")
+    return alike(written(sized.select("src", "dst", "n", "m"), "pairs"), documents)
+
+
+def once_a_group(members: DataFrame) -> DataFrame:
+    """members(token, _id, ...) of one token for each set of documents that share tokens."""
+    told = members.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("_id")).alias("x"), F.bit_xor(F.xxhash64("_id", F.lit(SEED))).alias("y"), F.min("_id").alias("lo"))
+    kept = told.groupBy("k", "x", "y", "lo").agg(F.min("token").alias("token")).select("token")
+    return members.join(small_side(written(kept, "kept"), 16), "token", "left_semi")
+
+
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with ``c``, their component over links, and of each token only those in which components differ."""
     named = written(components(links), "named")
@@ -168,15 +198,18 @@ def linked(documents: DataFrame) -> DataFrame:
     """(src, dst): links of documents(_id, t) whose components are those of all similar pairs.  ``_id`` must be unique."""
     part, whole = SIMILARITY
     first = written(prefixes(documents, frequent(documents)), "prefixes")
-    each = first.select(F.explode("tokens").alias("token"), "_id", "n", *ODD)
+    each = first.select(F.explode("tokens").alias("token"), "_id")
     shared = written(each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared")
-    members = written(each.join(small_side(shared, 16), "token").withColumn("c", F.col("_id")), "members")
+    members = once_a_group(written(each.join(small_side(shared, 16), "token"), "shared"))
+    guessed = by_fingerprints(documents, first.select("_id", "n"))
+    members = labelled(members.join(first.drop("tokens"), "_id"), guessed)
     apart = " + ".join(f"bit_count({c} ^ o{c})" for c in ODD)
     near = f"{whole} * least(n, m) >= {part} * greatest(n, m) and {whole + part} * ({apart}) <= {whole - part} * (n + m)"
     other = {"_id": "o", "n": "m", "c": "d"} | {c: f"o{c}" for c in ODD}
-    lead = members.groupBy("token").agg(F.min(F.struct(*other)).alias("l")).select("token", *[F.col(f"l.{c}").alias(o) for c, o in other.items()])
-    pairs = members.join(small_side(written(lead, "leads"), 80), "token").where(f"c <> d and {near}")
-    links = alike(written(pairs.select(F.least("_id", "o").alias("src"), F.greatest("_id", "o").alias("dst"), "n", "m").dropDuplicates(["src", "dst"]), "pairs"), documents)
+    mixed = F.xxhash64("_id")  # the same documents lead in all groups that they are in
+    lead = members.groupBy("token", F.pmod(mixed, F.lit(LEADS))).agg(F.min(F.struct(mixed.alias("h"), *other)).alias("l")).select("token", *[F.col(f"l.{c}").alias(o) for c, o in other.items()])
+    pairs = members.join(small_side(written(lead, "leads"), 40 + 8 * len(ODD)), "token").where(f"c <> d and {near}")
+    links = guessed.unionByName(alike(written(pairs.select(F.least("_id", "o").alias("src"), F.greatest("_id", "o").alias("dst"), "n", "m").dropDuplicates(["src", "dst"]), "pairs"), documents))
     members = labelled(members.drop("c"), links)
     main = members.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("x")).select("token", F.col("x.c").alias("main"))
     known = written(members.join(small_side(written(main, "main"), 32), "token"), "known")

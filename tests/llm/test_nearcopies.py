@@ -80,3 +80,28 @@ def test_shingles_met_often_change_no_result(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
         found = nearcopies.near_copies(spark.createDataFrame(rows, "_id long, text string")).agg(F.collect_list(F.struct("_id", "component"))).first()[0]
         assert {r._id: r.component for r in found} == want
+
+
+def test_simhash_proposes_and_shingles_decide(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for g in range(10):
+        base = [f"w{g}x{rng.randrange(9000)}" for _ in range(3000)]
+        rows += [(10 * g + k, edited(rng, base, k)) for k in range(4)]
+    rows += [(200 + k, f"word{k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "_id long, t string").select("_id", F.col("t").cast("binary").alias("t"))
+    sets = {i: shingled(t) for i, t in rows}
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in sets.items()], "_id long, n long")
+    found = {tuple(r) for r in nearcopies.by_fingerprints(docs, sizes).collect()}
+    assert len(found) > 10 and all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in found)
+    called = []
+    plain = nearcopies.simhash.links
+    monkeypatch.setattr(nearcopies.simhash, "links", lambda *a: called.append(1) or plain(*a))
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_chars long"), "")
+    assert {r.doc_id for r in left.collect()} == {i for i, c in brute_components(rows).items() if i == c} and called
+
+
+def test_one_shingle_stands_for_a_group_of_documents(spark):
+    rows = [(t, i) for t in range(50) for i in range(20)] + [(t, i) for t in range(50, 60) for i in range(19)]
+    kept = nearcopies.once_a_group(spark.createDataFrame(rows, "token long, _id long")).collect()
+    assert sorted(tuple(r) for r in kept) == [(t, i) for t, k in ((0, 20), (50, 19)) for i in range(k)]
