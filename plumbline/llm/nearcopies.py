@@ -2,7 +2,7 @@
 
 SimHash fingerprints of five-word shingles propose pairs by multi-index hashing;
 those whose sets are similar enough are links.  Fingerprints miss similar pairs,
-so a join finds the ones between documents that these links leave apart:  two sets of at least ``SIMILARITY`` share one of their first n - ceil(0.8 n) + 1
+so a join finds the ones between documents that these links leave apart: two sets of at least ``SIMILARITY`` share one of their first n - ceil(0.8 n) + 1
 shingles in any common order, so documents that share such a shingle are all
 the candidates there are.  Shingles met often come last in that order, and of
 shingles that the same documents share one is used, which only saves work.  Candidates are compared whole, shingle by shingle, unless
