@@ -97,6 +97,24 @@ def test_folder_and_encodings(spark, tmp_path):
         rowcsv.read_csv(spark, str(tmp_path / "none.xlsx"))
 
 
+def test_empty_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "part-0.csv").write_text("")
+    written_file(tmp_path / "part-1.csv", [[str(i), "x", "y"] for i in range(5)])
+    (tmp_path / "part-2.csv").write_text("")
+    written_file(tmp_path / "part-3.csv", [["5", "x", "y"], ["6", "x", "y", "one too many"]])
+    got = rowcsv.read_csv(spark, str(tmp_path), range_bytes=20)
+    assert [(r["__row__"], r["id"]) for r in got.df.orderBy("__row__").collect()] == [(k + 2, str(k)) for k in range(6)]
+    assert got.records == 7 and got.dropped() == 1
+    spark.dataSource.register(rowcsv.RowCsv)
+    assert spark.read.format("rowcsv").load(str(tmp_path)).select("id").count() == 6
+    whole = rowcsv.read_csv(spark, str(tmp_path), whole=True)
+    assert whole.records == 7 and whole.dropped() == 1 and whole.df.columns == got.df.columns
+    for k in (1, 3):
+        (tmp_path / f"part-{k}.csv").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        rowcsv.read_csv(spark, str(tmp_path))
+
+
 def test_data_source(spark, tmp_path, monkeypatch):
     path = written_file(tmp_path / "c.csv", [[str(k), ["x", "", "yz"][k % 3], f"m{k}"] for k in range(100)])
     spark.dataSource.register(rowcsv.RowCsv)
