@@ -2,9 +2,12 @@
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 
+from plumbline.functions import wordsets
 from plumbline.functions.similarity import token_set
 from plumbline.operators import fuzzy, records
 
@@ -43,6 +46,41 @@ def test_pairs(spark, monkeypatch, joined, tile, threshold):
     assert got == pytest.approx(want) and len(want) > 20
 
 
+@pytest.mark.parametrize(("joined", "tile", "first", "searched"), [(48, 2000, 500, 20000), (2, 30, 9, 500), (0, 5, 6, 17), (300, 5, 6, 17)])
+def test_connections(spark, monkeypatch, joined, tile, first, searched):
+    for name, value in (("JOINED", joined), ("TILE", tile), ("FIRST", first), ("SEARCHED", searched)):
+        monkeypatch.setattr(fuzzy, name, value)
+    rows = drawn(joined + first, 260)
+    for threshold in (88, 97):
+        pairs = brute(rows, threshold)
+        of = {k: k for p in pairs for k in p}
+        for a, b in pairs:
+            old, new = sorted((of[a], of[b]), reverse=True)
+            of = {k: new if c == old else c for k, c in of.items()}
+        got = fuzzy.connections(spark.createDataFrame(rows, SCHEMA), threshold)
+        assert {tuple(r) for r in got.collect()} <= set(pairs)
+        assert dict(map(tuple, records.components(got).collect())) == of and of
+
+
+def test_large_block_needs_few_comparisons(monkeypatch):
+    """One component of 3,000 records takes a fraction of its 4.5 million pairs to find, and its pairs take seconds."""
+    r, n = random.Random(1), 3000
+    texts = [f"ann lee person{k} mail com {r.randrange(200, 900)} {r.randrange(100, 999)} {r.randrange(1000, 9999)}" for k in range(n)]
+    pairs, compare = 0, wordsets.WordSets.compare
+
+    def counting(self, rows, others, threshold, within=False):
+        nonlocal pairs
+        pairs += len(rows) * len(others) // (2 if within else 1)
+        return compare(self, rows, others, threshold, within)
+
+    monkeypatch.setattr(wordsets.WordSets, "compare", counting)
+    joined = len(wordsets.WordSets(texts).links(np.arange(n), 75))
+    assert joined > n * 0.95 and pairs < n * n / 8
+    began = time.process_time()
+    found = sum(1 for _ in fuzzy.similar(texts, texts, 75, True))
+    assert found > 10 * n and time.process_time() - began < 10
+
+
 def test_bounds_lose_nothing():
     r = random.Random(2)
     words = ["a", "ab", "abc", "abcd", "b", "ba", "cab", "x1", "x12", "é"]
